@@ -152,8 +152,8 @@ found AS (
 _VERSIONS = """
 v AS (SELECT type, id, CAST(meta.version AS BIGINT) AS version, max(meta.timestamp) AS valid_from, max(meta.changeset) AS changeset,
              max(meta.uid) AS uid, max(meta.user) AS "user" FROM snapshots GROUP BY ALL),
-cal AS (SELECT snap_id, coalesce(lead(at) OVER (ORDER BY snap_id), -1) AS next_at
-        FROM (SELECT snap_id, min(CAST(epoch(snap_at) AS BIGINT)) AS at FROM snapshots GROUP BY snap_id)),
+cal AS (SELECT snap_id, coalesce(lead(taken) OVER (ORDER BY snap_id), -1) AS next_at
+        FROM (SELECT snap_id, min(CAST(epoch(snap_at) AS BIGINT)) AS taken FROM snapshots GROUP BY snap_id)),
 gone AS (SELECT type, id, next_at FROM (SELECT type, id, max(snap_id) AS snap_id FROM snapshots GROUP BY type, id) JOIN cal USING (snap_id)),
 h AS (SELECT v.*, coalesce(lead(valid_from) OVER (PARTITION BY type, id ORDER BY version), next_at) AS valid_to FROM v JOIN gone USING (type, id))
 """
