@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 LEVEL = 16
 # Fixed values of the scheme: the position along the curve of each quadrant (by orientation, then 2 * i + j), and how the
 # orientation changes within the quadrant at each position.
-QUADRANT_POSITION = ((0, 1, 3, 2), (0, 3, 1, 2), (2, 3, 0, 1), (2, 1, 3, 0))
+QUADRANT_POSITION = ((0, 1, 3, 2), (0, 3, 1, 2), (2, 3, 1, 0), (2, 1, 3, 0))
 ORIENTATION_CHANGE = (1, 0, 0, 3)
 
 

@@ -15,7 +15,7 @@ from terrafold.region import Region
 
 #: The region of the extract queries: a box around a crowded place, and a disc within it.
 BOX = "4.9,75.7,5.5,76.4"
-DISC = "5.2,76.0,0.15"
+DISC = "5.0,76.0,0.1"
 REGION = Region.parse(BOX, "bbox")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,8 +268,8 @@ def nodes_in_bbox(spark, d):
     return ex.nodes_in(_db(spark, d), REGION, "exact")
 
 
-@query("""SELECT id FROM cl WHERE lon_i IS NOT NULL AND degrees(2 * asin(least(1.0, sqrt(pow(sin(radians(lat_i / 1e7 - 5.2) / 2), 2)
- + cos(radians(5.2)) * cos(radians(lat_i / 1e7)) * pow(sin(radians(lon_i / 1e7 - 76.0) / 2), 2))))) <= 0.15""")
+@query("""SELECT id FROM cl WHERE lon_i IS NOT NULL AND degrees(2 * asin(least(1.0, sqrt(pow(sin(radians(lat_i / 1e7 - 5.0) / 2), 2)
+ + cos(radians(5.0)) * cos(radians(lat_i / 1e7)) * pow(sin(radians(lon_i / 1e7 - 76.0) / 2), 2))))) <= 0.1""")
 def nodes_in_disc(spark, d):
     return ex.nodes_in(_db(spark, d), Region.parse(DISC, "disc"), "exact")
 
