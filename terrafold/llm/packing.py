@@ -2,8 +2,10 @@
 
 A document of n tokens costs ``LINEAR * n + QUADRATIC * n * n``, the second part standing for attention within it.
 Documents go in descending order to the container of the lowest cost so far that still has room; as many containers are
-open from the start as the tokens need at least, and one more is opened only when an item fits nowhere.  A document over
-the capacity, and only such a one, is split: into full containers of its own and a rest that is packed like any other.
+open from the start as the tokens need at least, and one more is opened only when an item fits nowhere.  Once 7/10 of the
+tokens are placed the costs are settled, and the small documents that remain go to the container with the tightest room
+that fits, the cheaper one of equals: spread by cost to the end, they would leave every container a gap that nothing fits
+into.  A document over the capacity, and only such a one, is split: into full containers of its own and a rest that is packed like any other.
 
 Packing is done in shards.  A shard holds so many documents that the last, part-filled containers are a negligible share
 of all, and so few that one task packs it in memory; rows are dealt to shards by their place in the input, so that
@@ -12,6 +14,7 @@ repeated ids or equal lengths never gather in one of them.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
+#: Share of the tokens that is placed by cost.
+BALANCED = 0.7
 #: Documents per shard, about.
 SHARD_ROWS = 25_000
 
@@ -47,9 +52,12 @@ def pack(sizes: list[int], capacity: int, linear: float = LINEAR, quadratic: flo
     rest.sort(key=lambda x: (-x[0], x[1]))
     first = made
     room = [capacity] * -(-sum(n for n, _, _ in rest) // capacity)
+    costs = [0.0] * len(room)
     ready = [(0.0, c) for c in range(len(room))]  # (cost, container): containers that the current size fits into
     full: list[tuple[int, float, int]] = []  # (-room, cost, container): waiting until sizes have come down to their room
-    for n, i, start in rest:
+    total, placed, at = sum(n for n, _, _ in rest), 0, 0
+    while at < len(rest) and placed < BALANCED * total:
+        n, i, start = rest[at]
         while full and -full[0][0] >= n:
             r, k, c = heapq.heappop(full)
             heapq.heappush(ready, (k, c))
@@ -58,10 +66,22 @@ def pack(sizes: list[int], capacity: int, linear: float = LINEAR, quadratic: flo
             heapq.heappush(full, (-room[c], k, c))
         if not ready:
             room.append(capacity)
+            costs.append(0.0)
             ready.append((0.0, len(room) - 1))
-        k, c = ready[0]
+        c = ready[0][1]
         room[c] -= n
-        heapq.heapreplace(ready, (k + cost(n, linear, quadratic), c))
+        costs[c] += cost(n, linear, quadratic)
+        heapq.heapreplace(ready, (costs[c], c))
+        out.append((i, first + c, start, n))
+        placed, at = placed + n, at + 1
+    rooms = sorted((r, costs[c], c) for c, r in enumerate(room))
+    for n, i, start in rest[at:]:
+        spot = bisect.bisect_left(rooms, (n, -1.0, -1))
+        if spot == len(rooms):
+            room.append(capacity)
+            rooms.append((capacity, 0.0, len(room) - 1))
+        r, k, c = rooms.pop(spot)
+        bisect.insort(rooms, (r - n, k + cost(n, linear, quadratic), c))
         out.append((i, first + c, start, n))
     return out
 
@@ -89,9 +109,11 @@ def pack_documents(sizes: DataFrame, capacities: DataFrame, rows: int, key: str
             item, box, start, length = zip(*pack(lengths, capacity))
             ids = pdf["doc_id"].take(list(item)).reset_index(drop=True)
             parts.append(pd.DataFrame({"pack_id": pack_id, "container_id": [int(keys[0]) << 32 | b for b in box], "doc_id": ids, "start": start, "n_tokens": length}))
-        return pd.concat(parts) if parts else pd.DataFrame({"pack_id": [], "container_id": [], "doc_id": [], "start": [], "n_tokens": []})
+        return pd.concat(parts)
 
     pack_kind = dict(capacities.dtypes)["pack_id"]
+    if not packs:
+        placed = placed.where("false")
     out = placed.groupBy("shard").applyInPandas(run, f"pack_id {pack_kind}, container_id bigint, doc_id string, start int, n_tokens int")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))  # as text on the way, since pandas would make floats of ids beside a null
 
