@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from terrafold import tables as T
 from terrafold.operators import indexes
+from terrafold.scratch import Scratch
 
 ELEMENT_TABLES = ("locations", "nodes", "ways", "relations")
 ALL_TABLES = (*ELEMENT_TABLES, *indexes.COLUMNS)
@@ -36,9 +37,15 @@ class OsmDataset:
     version: int | None = None
 
     @staticmethod
-    def from_raw(spark: SparkSession, folder: str) -> OsmDataset:
-        """From element tables with repeated and older rows; the indexes follow from the current rows, lazily."""
+    def from_raw(spark: SparkSession, folder: str, settled: tuple[str, ...] = ()) -> OsmDataset:
+        """From element tables with repeated and older rows; the indexes follow from the current rows, lazily.
+
+        settled: element tables whose current rows are written once, for work that reads them several times.
+        """
         el = {n: getattr(T, f"current_{n}")(spark, folder) for n in ELEMENT_TABLES}
+        if settled:
+            scratch = Scratch(spark)
+            el |= {n: scratch.save(el[n])[0] for n in settled}
         return OsmDataset.from_elements(spark, el)
 
     @staticmethod

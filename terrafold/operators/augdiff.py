@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.dataset import OsmDataset
+from terrafold.scratch import Scratch
 
 RANK = {"node": 1, "way": 2, "relation": 3}
 UNKNOWN = "?"
@@ -143,14 +144,15 @@ def augmented_diff(db: OsmDataset, changes: DataFrame) -> DataFrame:
 
     Changed elements stay even if incomplete; affected relations that are incomplete are left out.
     """
-    actions = newest(changes)
-    changed = old_new(db, actions)
+    scratch = Scratch(db.spark)  # both are read by several branches
+    actions, _ = scratch.save(newest(changes))
+    changed, _ = scratch.save(old_new(db, actions))
     own = changed.select("type", "id", "action", F.lit(False).alias("spread"), "old_nodes", "new_nodes", "old_members", "new_members")
     hit = affected(db, actions, changed)
     w = db.ways.join(hit.where("type = 'way'").select("id"), "id", "left_semi").select(F.lit("way").alias("type"), "id", F.col("nodes").alias("l"), F.lit(None).cast(db.relations.schema["members"].dataType).alias("m"))
     r = db.relations.join(hit.where("type = 'relation'").select("id"), "id", "left_semi").select(F.lit("relation").alias("type"), "id", F.lit(None).cast("array<bigint>").alias("l"), F.col("members").alias("m"))
     spread = w.unionByName(r).select("type", "id", F.lit("modify").alias("action"), F.lit(True).alias("spread"), F.col("l").alias("old_nodes"), F.col("l").alias("new_nodes"), F.col("m").alias("old_members"), F.col("m").alias("new_members"))
-    everything = own.unionByName(spread)
+    everything, _ = scratch.save(own.unionByName(spread))
     holes = incomplete(vertices(everything, db, actions)).withColumn("incomplete", F.lit(True))
     j = everything.select("type", "id", "action", "spread").join(holes, ["type", "id"], "left").withColumn("incomplete", F.coalesce("incomplete", F.lit(False)))
     kept = j.where("not (spread and incomplete and type = 'relation')")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from terrafold import coverer, tags
 from terrafold.dataset import OsmDataset
 from terrafold.functions import s2
+from terrafold.operators.closure import transitive
 from terrafold.region import Region
 from terrafold.scratch import Scratch
 
@@ -79,15 +80,9 @@ def parents(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def closure(relation_relation: DataFrame, start: DataFrame) -> DataFrame:
-    """``id``: the start and all relations above it.  Each round looks up only the relations new in the one before; a cycle
-    ends as soon as it brings nothing new."""
-    scratch = Scratch(start.sparkSession)
-    seen, m = scratch.save(start.select("id").distinct())
-    front = seen
-    while m["n"]:
-        front, m = scratch.save(parents(relation_relation, front).join(seen, "id", "left_anti"))
-        seen = seen.unionByName(front)
-    return seen
+    """``id``: the start and all relations above it, cycles included."""
+    above = transitive(relation_relation.select("child_id", "parent_id"))
+    return start.select("id").union(parents(above, start)).distinct()
 
 
 def multipolygon_ways(relations: DataFrame, ways: DataFrame, ids: DataFrame) -> DataFrame:
@@ -150,7 +145,7 @@ def extract(db: OsmDataset, region: Region, mode: str = "covering", grow: int |
     n0 = save(nodes_in(db, region, mode, grow))
     w0 = save(parents(db.node_way, n0))
     r0 = save(parents(db.node_relation, n0).union(parents(db.way_relation, w0)).distinct())
-    r = closure(db.relation_relation, r0)
+    r = save(closure(db.relation_relation, r0))
     w = save(w0.union(multipolygon_ways(db.relations, db.ways, r)).distinct())
     n = save(n0.union(way_nodes(db.ways, w)).distinct())
     return Extract(db, n0, w0, r0, r, w, n)

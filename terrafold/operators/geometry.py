@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold import tags as tg
+from terrafold.operators.closure import transitive
 from terrafold.scratch import Scratch
 
 
@@ -81,20 +82,12 @@ def way_geojson(ways: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def members_below(relations: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """``id, member_type, member_id``: the distinct node and way members of each relation and of all relations below it.
-
-    Rounds go down one level for all relations at once; a relation that has been met below a start isn't opened again, so
-    that cycles end.
-    """
-    scratch = Scratch(relations.sparkSession)
-    m, _ = scratch.save(relations.select("id", F.explode("members").alias("m")).select("id", F.col("m.type").alias("member_type"), F.col("m.ref").alias("member_id")).where("member_type is not null and member_id is not null").distinct())
-    down = m.where("member_type = 'relation'").select("id", F.col("member_id").alias("below"))
-    seen, k = scratch.save((relations if starts is None else starts).select(F.col("id").alias("top"), "id"))
-    front = seen
-    while k["n"]:
-        nxt = front.join(down, "id").select("top", F.col("below").alias("id")).distinct()
-        front, k = scratch.save(nxt.join(seen, ["top", "id"], "left_anti"))
-        seen = seen.unionByName(front)
+    """``id, member_type, member_id``: the distinct node and way members of each relation and of all relations below it,
+    cycles included."""
+    m, _ = Scratch(relations.sparkSession).save(relations.select("id", F.explode("members").alias("m")).select("id", F.col("m.type").alias("member_type"), F.col("m.ref").alias("member_id")).where("member_type is not null and member_id is not null").distinct())
+    below = transitive(m.where("member_type = 'relation'").select("id", "member_id"))
+    tops = (relations if starts is None else starts).select(F.col("id").alias("top"))
+    seen = tops.select("top", F.col("top").alias("id")).union(below.join(tops, below["a"] == tops["top"], "left_semi")).distinct()
     return seen.join(m.where("member_type <> 'relation'"), "id").select(F.col("top").alias("id"), "member_type", "member_id").distinct()
 
 

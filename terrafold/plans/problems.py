@@ -158,7 +158,26 @@ gone AS (SELECT type, id, next_at FROM (SELECT type, id, max(snap_id) AS snap_id
 h AS (SELECT v.*, coalesce(lead(valid_from) OVER (PARTITION BY type, id ORDER BY version), next_at) AS valid_to FROM v JOIN gone USING (type, id))
 """
 
+_NEARBY = r"""
+place AS (SELECT id, r.x / 1e7 AS lon, r.y / 1e7 AS lat FROM (SELECT id, max({'v': version, 'x': lon_i, 'y': lat_i}) AS r FROM locations WHERE id IN (SELECT id FROM nodes) GROUP BY id)
+       WHERE r.x BETWEEN -1800000000 AND 1800000000 AND r.y BETWEEN -900000000 AND 900000000),
+pairs AS (SELECT 'near' AS kind, a.id AS left_id, b.id AS right_id FROM place a JOIN place b ON a.id < b.id AND abs(a.lat - b.lat) < 0.0001
+          WHERE 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 10),
+num AS (SELECT extract_id, kind, list_transform(string_split(spec, ','), lambda x: CAST(trim(x) AS DOUBLE)) AS a FROM extracts WHERE kind IN ('bbox', 'disc')),
+box AS (SELECT extract_id, id FROM num JOIN place ON lat BETWEEN a[1] AND a[3] AND CASE WHEN a[2] <= a[4] THEN lon BETWEEN a[2] AND a[4] ELSE lon >= a[2] OR lon <= a[4] END WHERE kind = 'bbox'),
+disc AS (SELECT extract_id, id FROM num JOIN place ON abs(lat - a[1]) <= a[3] + 0.001 WHERE kind = 'disc'
+         AND degrees(2 * asin(least(1.0, sqrt(pow(sin(radians(lat - a[1]) / 2), 2) + cos(radians(lat)) * cos(radians(a[1])) * pow(sin(radians(lon - a[2]) / 2), 2))))) <= a[3]),
+line AS (SELECT extract_id, u.i AS i, u.s AS s FROM (SELECT extract_id, unnest(list_transform(regexp_split_to_array(spec, '\r?\n'), lambda x, i: {'i': i, 's': trim(x)})) AS u FROM extracts WHERE kind = 'poly')),
+ring AS (SELECT extract_id, i, s, count(*) FILTER (s = 'END') OVER (PARTITION BY extract_id ORDER BY i) AS ring FROM line),
+pt AS (SELECT extract_id, ring, i, CAST(p[1] AS DOUBLE) AS x, CAST(p[2] AS DOUBLE) AS y FROM (SELECT *, regexp_split_to_array(s, '\s+') AS p FROM ring) WHERE len(p) = 2 AND s <> 'END'),
+side AS (SELECT extract_id, ring, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM pt WINDOW w AS (PARTITION BY extract_id, ring ORDER BY i)),
+poly AS (SELECT DISTINCT extract_id, id FROM (SELECT extract_id, ring, id, count(*) AS n FROM side JOIN place ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL) WHERE n % 2 = 1),
+held AS (SELECT * FROM box UNION ALL SELECT * FROM disc UNION ALL SELECT * FROM poly)
+"""
+
 SQL = {
+    "p5_found": f"WITH {_NEARBY} SELECT * FROM pairs UNION ALL SELECT 'inside', extract_id, id FROM held",
+    "p5_areas": f"WITH {_NEARBY} SELECT e.extract_id, e.kind, e.cells_total, count(h.id) AS n_nodes FROM extracts e LEFT JOIN held h ON h.extract_id = e.extract_id GROUP BY ALL",
     "p1_found": f"""
 WITH RECURSIVE {_CURRENT_RELATIONS},
 e AS (SELECT DISTINCT id AS p, m.ref AS c FROM (SELECT id, unnest(members) AS m FROM cr) WHERE m.type = 'relation' AND m.ref IN (SELECT id FROM cr)),

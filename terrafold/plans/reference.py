@@ -12,6 +12,7 @@ from terrafold.dataset import OsmDataset
 from terrafold.functions import s2
 from terrafold.operators import augdiff, extract as ex, geometry as geo, indexes, update as up
 from terrafold.region import Region
+from terrafold.scratch import Scratch
 
 #: The region of the extract queries: a box around a crowded place, and a disc within it.
 BOX = "4.9,75.7,5.5,76.4"
@@ -92,9 +93,8 @@ ar AS (SELECT id FROM (SELECT relation_id AS id FROM nr WHERE node_id IN (SELECT
 """
 
 
-def _db(spark: SparkSession, d: str) -> OsmDataset:
-    db = OsmDataset.from_raw(spark, d)
-    return db
+def _db(spark: SparkSession, d: str, *settled: str) -> OsmDataset:
+    return OsmDataset.from_raw(spark, d, settled)
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +298,7 @@ def relations_of_ways(spark, d):
 
 @query("SELECT id FROM ra")
 def relation_closure(spark, d):
-    return ex.extract(_db(spark, d), REGION, "exact").r
+    return ex.extract(_db(spark, d, "locations", "ways", "relations"), REGION, "exact").r
 
 
 @query("SELECT DISTINCT ref AS id FROM mem WHERE t = 'way' AND ref IN (SELECT id FROM cw) AND id IN (SELECT id FROM cr WHERE len(list_filter(tags, lambda t: t.k = 'type' AND t.v = 'multipolygon')) > 0)")
@@ -315,7 +315,7 @@ def way_complete_nodes(spark, d):
 
 @query("SELECT 'n0' AS set_name, count(*) AS n FROM n0 UNION ALL SELECT 'w0', count(*) FROM w0 UNION ALL SELECT 'r0', count(*) FROM r0 UNION ALL SELECT 'r', count(*) FROM ra UNION ALL SELECT 'w', count(*) FROM wa UNION ALL SELECT 'n', count(*) FROM na")
 def extract_counts(spark, d):
-    return ex.extract(_db(spark, d), REGION, "exact").counts()
+    return ex.extract(_db(spark, d, "locations", "ways", "relations"), REGION, "exact").counts()
 
 
 _ELEMENTS = f"""SELECT 0 AS rank, cl.id, cl.version AS version, {{u0}} AS uid, {_S_FIXED.format('cl.lon_i')} || ' ' || {_S_FIXED.format('cl.lat_i')} AS body, {_S_TAGS.format('cn.tags')} AS tags FROM cl LEFT JOIN cn ON cn.id = cl.id
@@ -325,7 +325,7 @@ UNION ALL SELECT 2, id, meta.version, {{u}}, {_S_MEMBERS.format('members')}, {_S
 
 
 def _elements(spark, d, user_data: bool):
-    e = ex.extract(_db(spark, d), REGION, "exact")
+    e = ex.extract(_db(spark, d, "locations", "ways", "relations"), REGION, "exact")
     n = e.nodes(user_data).select(F.lit(0).alias("rank"), "id", "version", F.col("meta.uid").alias("uid"), F.concat(geo.fixed(F.col("lon_i")), F.lit(" "), geo.fixed(F.col("lat_i"))).alias("body"), _tags().alias("tags"))
     w = e.ways(user_data).select(F.lit(1).alias("rank"), "id", F.col("meta.version").alias("version"), F.col("meta.uid").alias("uid"), _joined(F.col("nodes")).alias("body"), _tags().alias("tags"))
     r = e.relations(user_data).select(F.lit(2).alias("rank"), "id", F.col("meta.version").alias("version"), F.col("meta.uid").alias("uid"), _members().alias("body"), _tags().alias("tags"))
@@ -345,7 +345,7 @@ def extract_no_user_data(spark, d):
 @query()
 def extract_covering(spark, d):
     """The sizes of an extract by whole cells, as the box's covering has it."""
-    return ex.extract(_db(spark, d), REGION, "covering").counts()
+    return ex.extract(_db(spark, d, "locations", "ways", "relations"), REGION, "covering").counts()
 
 
 # ---- geometry
@@ -403,7 +403,7 @@ def relation_members_recursive(spark, d):
  UNION ALL SELECT l.id, 1, ref, ln.g FROM leafs l JOIN ln ON ln.id = l.ref WHERE l.t = 'way')
 SELECT cr.id, '{{"type":"GeometryCollection","geometries":[' || coalesce(string_agg(p.g, ',' ORDER BY p.rank, p.ref), '') || ']}}' AS geometry FROM cr LEFT JOIN parts p ON p.id = cr.id GROUP BY cr.id""")
 def geojson_relation(spark, d):
-    db = _db(spark, d)
+    db = _db(spark, d, "ways", "relations")
     return geo.relation_geojson(db.relations, db.ways, db.locations).select("id", "geometry")
 
 
@@ -478,8 +478,8 @@ def update_index_delta(spark, d):
 
 
 def _diff(spark, d):
-    db = _db(spark, d)
-    actions = augdiff.newest(_changes(spark, d))
+    db = _db(spark, d, "locations", "ways", "relations")
+    actions, _ = Scratch(spark).save(augdiff.newest(_changes(spark, d)))
     return db, actions, augdiff.old_new(db, actions)
 
 
@@ -545,4 +545,4 @@ li AS (SELECT type, id, act AS action, false AS spread FROM act UNION ALL SELECT
 SELECT CASE li.type WHEN 'node' THEN 1 WHEN 'way' THEN 2 ELSE 3 END AS rank, li.type, li.id, action, spread, h.id IS NOT NULL AS incomplete FROM li LEFT JOIN hole h ON h.type = li.type AND h.id = li.id
 WHERE NOT (spread AND li.type = 'relation' AND h.id IS NOT NULL)""")
 def augdiff_sorted(spark, d):
-    return augdiff.augmented_diff(_db(spark, d), _changes(spark, d))
+    return augdiff.augmented_diff(_db(spark, d, "locations", "ways", "relations"), _changes(spark, d))
