@@ -105,20 +105,20 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(joined(sys.argv[1:] if argv is None else argv))
     spark = spark or SparkSession.builder.appName("terrafold").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    from terrafold.sources import osmxml
+    from terrafold.sources import xmlfiles
 
     try:
         with timed(a.command):
             if a.command == "expand":
                 with writer_lock(a.dataset):
-                    osmxml.expand(spark, a.osm_file, a.dataset)
+                    xmlfiles.expand(spark, a.osm_file, a.dataset)
             elif a.command == "extract":
                 extract(spark, a)
             elif a.command == "update":
                 from terrafold.operators.update import apply_file
 
-                osmxml.register(spark)
-                changes = spark.read.format("osmchange").option("seq", a.seqnum).load(a.osc_file)
+                xmlfiles.register(spark)
+                changes = spark.read.format("changes_xml").option("seq", a.seqnum).load(a.osc_file)
                 with writer_lock(a.dataset):
                     apply_file(OsmDataset.open(spark, a.dataset), changes, a.dataset, a.seqnum, a.timestamp, a.commit)
             elif a.command == "query":
@@ -130,8 +130,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             else:
                 from terrafold.sources import augdiffxml
 
-                osmxml.register(spark)
-                changes = spark.read.format("osmchange").load(a.osc_file)
+                xmlfiles.register(spark)
+                changes = spark.read.format("changes_xml").load(a.osc_file)
                 with open(a.output, "w", encoding="utf-8") as f:
                     f.write(augdiffxml.render(OsmDataset.open(spark, a.dataset), changes))
     except (RegionError, Busy) as e:

@@ -12,6 +12,7 @@ from terrafold.operators import augdiff
 from terrafold.scratch import Scratch
 from terrafold.sources.xmlsink import degrees
 
+# Fixed value: the attribution that readers of such files expect.
 NOTE = "The data included in this document is from www.openstreetmap.org. The data is made available under ODbL."
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, InputPartition
 
 from terrafold import schemas
-from terrafold.sources.osmxml import _Files
+from terrafold.sources.xmlfiles import _Files
 
 KINDS = ("node", "way", "relation")
 
@@ -202,11 +202,11 @@ class _PbfReader(_Files):
 
 
 class OsmPbf(DataSource):
-    """``spark.read.format("osmpbf").load(path)``"""
+    """``spark.read.format("elements_pbf").load(path)``"""
 
     @classmethod
     def name(cls):
-        return "osmpbf"
+        return "elements_pbf"
 
     def schema(self):
         return schemas.OBJECTS

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from terrafold import schemas
-from terrafold.sources import osmxml
+from terrafold.sources import xmlfiles
 
 TIMEOUT_S = 10
 
@@ -39,7 +39,7 @@ def parse_state(text: str) -> State:
         if sep:
             got[key.strip()] = value.strip().replace("\\:", ":")
     try:
-        return State(int(got["sequenceNumber"]), osmxml.epoch(got["timestamp"]))
+        return State(int(got["sequenceNumber"]), xmlfiles.epoch(got["timestamp"]))
     except (KeyError, ValueError) as e:
         raise FeedError("not a state file") from e
 
@@ -70,7 +70,7 @@ class Feed:
             import gzip
 
             raw = gzip.decompress(raw)
-        return osmxml.changes(io.BytesIO(raw), seq)
+        return xmlfiles.changes(io.BytesIO(raw), seq)
 
     def sequence_at(self, when: int) -> int:
         """The highest available sequence that is strictly older than a time, the latest for times from its own on, the
@@ -119,11 +119,11 @@ class _Stream(DataSourceStreamReader):
 
 
 class Replication(DataSource):
-    """``spark.readStream.format("osmreplication").option("startingSequence", n).load(base)``: the changes after n."""
+    """``spark.readStream.format("change_feed").option("startingSequence", n).load(base)``: the changes after n."""
 
     @classmethod
     def name(cls):
-        return "osmreplication"
+        return "change_feed"
 
     def schema(self):
         return schemas.CHANGES

@@ -134,12 +134,12 @@ class _OscReader(_Files):
             yield from changes(f, seq)
 
 
-class OsmXml(DataSource):
-    """``spark.read.format("osmxml").load(path)``"""
+class ElementsXml(DataSource):
+    """``spark.read.format("elements_xml").load(path)``"""
 
     @classmethod
     def name(cls):
-        return "osmxml"
+        return "elements_xml"
 
     def schema(self):
         return schemas.OBJECTS
@@ -149,11 +149,11 @@ class OsmXml(DataSource):
 
 
 class OsmChange(DataSource):
-    """``spark.read.format("osmchange").option("seq", n).load(path)``; the files of a glob are n, n + 1, ..."""
+    """``spark.read.format("changes_xml").option("seq", n).load(path)``; the files of a glob are n, n + 1, ..."""
 
     @classmethod
     def name(cls):
-        return "osmchange"
+        return "changes_xml"
 
     def schema(self):
         return schemas.CHANGES
@@ -165,7 +165,7 @@ class OsmChange(DataSource):
 def register(spark: SparkSession) -> None:
     from terrafold.sources import pbf, replication, xmlsink
 
-    for s in (OsmXml, OsmChange, pbf.OsmPbf, replication.Replication, xmlsink.OsmXmlSink):
+    for s in (ElementsXml, OsmChange, pbf.OsmPbf, replication.Replication, xmlsink.ElementsXmlSink):
         spark.dataSource.register(s)
 
 
@@ -186,8 +186,8 @@ def expand(spark: SparkSession, path: str, root: str) -> int:
     from terrafold.sources import pbf
 
     register(spark)
-    kind = "osmpbf" if path.endswith(".pbf") else "osmxml"
-    head = pbf.header(path) if kind == "osmpbf" else header(path)
+    kind = "elements_pbf" if path.endswith(".pbf") else "elements_xml"
+    head = pbf.header(path) if kind == "elements_pbf" else header(path)
     meta = {FILENAME: os.path.basename(path), TIMESTAMP: head.get("osmosis_replication_timestamp", head.get("timestamp", ""))}
     if head.get(SEQNUM):
         meta[SEQNUM] = head[SEQNUM]

@@ -90,14 +90,14 @@ class _Writer(DataSourceWriter):
                 os.remove(m.file)
 
 
-class OsmXmlSink(DataSource):
-    """``df.write.format("osmxmlsink").mode("append").save(path)`` of a table of objects sorted by type and id.
+class ElementsXmlSink(DataSource):
+    """``df.write.format("elements_xml_sink").mode("append").save(path)`` of a table of objects sorted by type and id.
 
     The folder must be one that all executors and the driver share."""
 
     @classmethod
     def name(cls):
-        return "osmxmlsink"
+        return "elements_xml_sink"
 
     def schema(self):
         return schemas.OBJECTS
@@ -117,11 +117,11 @@ def objects_of(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataF
 
 
 def write(objects: DataFrame, path: str, info: dict) -> None:
-    from terrafold.sources.osmxml import register
+    from terrafold.sources.xmlfiles import register
 
     register(objects.sparkSession)
     rank = F.when(F.col("type") == "node", 0).when(F.col("type") == "way", 1).otherwise(2)
-    w = objects.orderBy(rank, "id").write.format("osmxmlsink").mode("append")
+    w = objects.orderBy(rank, "id").write.format("elements_xml_sink").mode("append")
     for k, v in info.items():
         w = w.option(k, ",".join(map(str, v)) if isinstance(v, (list, tuple)) else v)
     w.save(path)

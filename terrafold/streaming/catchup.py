@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from terrafold.dataset import SEQNUM, TIMESTAMP, OsmDataset, writer_lock
 from terrafold.operators.update import apply_file
-from terrafold.sources.osmxml import epoch, register
+from terrafold.sources.xmlfiles import epoch, register
 from terrafold.sources.replication import Feed, timestamp_text
 
 
@@ -42,7 +42,7 @@ def catch_up(spark: SparkSession, base: str, root: str, checkpoint: str, suffix:
     register(spark)
     feed = Feed(base, suffix)
     first = start_sequence(OsmDataset.open(spark, root), feed)
-    stream = spark.readStream.format("osmreplication").option("startingSequence", first).option("suffix", suffix).load(base)
+    stream = spark.readStream.format("change_feed").option("startingSequence", first).option("suffix", suffix).load(base)
 
     def run(batch: DataFrame, _: int) -> None:
         with writer_lock(root):

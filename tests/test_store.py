@@ -18,7 +18,7 @@ from terrafold.functions import lookup
 from terrafold.operators import augdiff, extract as ex, geometry as geo, indexes, update as up
 from terrafold.progress import Progress
 from terrafold.region import Region
-from terrafold.sources import augdiffxml, osmxml, pbf, replication, xmlsink
+from terrafold.sources import augdiffxml, xmlfiles, pbf, replication, xmlsink
 from terrafold.streaming import catchup
 
 OSM = """<?xml version="1.0" encoding="UTF-8"?>
@@ -67,14 +67,14 @@ def files(tmp_path_factory):
 @pytest.fixture(scope="module")
 def db(spark, files):
     root = str(files / "db")
-    osmxml.expand(spark, str(files / "a.osm"), root)
+    xmlfiles.expand(spark, str(files / "a.osm"), root)
     return OsmDataset.open(spark, root)
 
 
 @pytest.fixture(scope="module")
 def osc(spark, files):
-    osmxml.register(spark)
-    return spark.read.format("osmchange").option("seq", 5).load(str(files / "a.osc.gz"))
+    xmlfiles.register(spark)
+    return spark.read.format("changes_xml").option("seq", 5).load(str(files / "a.osc.gz"))
 
 
 def ids(df):
@@ -86,7 +86,7 @@ def pairs(df):
 
 
 def test_file_head_and_published_tables(files, db):
-    head = osmxml.header(str(files / "a.osm"))
+    head = xmlfiles.header(str(files / "a.osm"))
     assert head["generator"] == "test" and head["bounds_maxlat"] == "2"
     assert db.get_metadata("import_filename") == "a.osm" and db.get_metadata(TIMESTAMP) == "2024-01-01T00:00:00Z" and db.get_metadata("none") == ""
     assert {r["table_name"]: r["n"] for r in db.stats().collect()} == {"locations": 5, "nodes": 1, "ways": 4, "relations": 4, "cell_node": 5, "node_way": 6, "node_relation": 1, "way_relation": 5, "relation_relation": 4}
@@ -157,7 +157,7 @@ def test_update_equals_rebuilding(spark, db, osc):
 
 def test_commit_rehearsal_lock_and_pinned_versions(spark, files, osc):
     root = str(files / "db2")
-    first = osmxml.expand(spark, str(files / "a.osm"), root)
+    first = xmlfiles.expand(spark, str(files / "a.osm"), root)
     pinned = OsmDataset.open(spark, root)
     assert up.apply_file(pinned, osc, root, 5, "2024-02-02T00:00:00Z") is None
     assert OsmDataset.open(spark, root).version == first
@@ -195,13 +195,13 @@ def test_augmented_diff(spark, db, osc):
 def test_xml_round_trip(spark, db, files):
     out = str(files / "out.osm")
     xmlsink.write(xmlsink.objects_of(db.locations.join(db.nodes, "id", "left").select("id", "lon_i", "lat_i", "version", "tags", "meta"), db.ways, db.relations), out, {"generator": "x", "box": [0, 0, 1, 1]})
-    back = osmxml.elements(spark.read.format("osmxml").load(out))
+    back = xmlfiles.elements(spark.read.format("elements_xml").load(out))
     for name in ("locations", "ways", "relations"):
         cols = [c for c in getattr(db, name).columns if c != "meta"]
         assert sorted(map(repr, back[name].select(cols).collect())) == sorted(map(repr, getattr(db, name).select(cols).collect()))
-    rows = spark.read.format("osmxml").load(out).orderBy("pos").collect()
+    rows = spark.read.format("elements_xml").load(out).orderBy("pos").collect()
     assert [(r["type"], r["id"]) for r in rows] == [("node", i) for i in (1, 2, 3, 4, 5)] + [("way", i) for i in (10, 11, 12, 13)] + [("relation", i) for i in (20, 21, 22, 23)]
-    assert osmxml.header(out)["bounds_maxlon"] == "1.0000000"
+    assert xmlfiles.header(out)["bounds_maxlon"] == "1.0000000"
 
 
 def vint(x):
@@ -243,15 +243,15 @@ def test_binary_file(spark, tmp_path):
     p = tmp_path / "a.pbf"
     p.write_bytes(head + blob(b"OSMData", one) + blob(b"OSMData", two, plain=True))
     assert pbf.header(str(p)) == {"generator": "gen", "osmosis_replication_timestamp": "1970-01-02T00:00:00Z", "osmosis_replication_sequence_number": "12"}
-    osmxml.register(spark)
-    rows = spark.read.format("osmpbf").load(str(p)).orderBy("pos").collect()
+    xmlfiles.register(spark)
+    rows = spark.read.format("elements_pbf").load(str(p)).orderBy("pos").collect()
     assert [(r["type"], r["id"]) for r in rows] == [("node", 5), ("node", 3), ("way", 50), ("relation", 60)]
     assert (rows[0]["lon_i"], rows[0]["lat_i"], rows[0]["version"], rows[0]["meta"]["timestamp"], rows[0]["meta"]["user"]) == (-30, 10, 1, 100, "me")
     assert rows[0]["tags"][0]["v"] == "v" and rows[1]["tags"] == [] and (rows[1]["lon_i"], rows[1]["lat_i"]) == (40, -20)
     assert rows[2]["nodes"] == [5, 3, 5] and rows[2]["meta"]["timestamp"] == 300
     assert [(m["ref"], m["type"], m["role"]) for m in rows[3]["members"]] == [(50, "way", "outer"), (5, "node", "")]
     root = str(tmp_path / "db")
-    osmxml.expand(spark, str(p), root)
+    xmlfiles.expand(spark, str(p), root)
     assert OsmDataset.open(spark, root).get_metadata(SEQNUM) == "12"
 
 
@@ -272,7 +272,7 @@ def feed(folder, last):
 def test_replication_states(tmp_path):
     feed(str(tmp_path), 5)
     f = replication.Feed(str(tmp_path))
-    day = lambda d, h=0: osmxml.epoch(f"2024-01-0{d}T{h:02d}:00:00Z")
+    day = lambda d, h=0: xmlfiles.epoch(f"2024-01-0{d}T{h:02d}:00:00Z")
     assert replication.path_of(4005006) == "004/005/006"
     assert [f.sequence_at(t) for t in (day(9), day(5), day(4, 5), day(4), day(3, 5), day(2, 1), day(2), day(1) - 5)] == [5, 5, 4, 2, 2, 2, 1, 1]
     with pytest.raises(replication.FeedError):
@@ -285,7 +285,7 @@ def test_catching_up_equals_one_batch_and_does_not_repeat(spark, files, tmp_path
     root, folder = str(tmp_path / "db"), str(tmp_path / "feed")
     os.makedirs(folder)
     feed(folder, 2)
-    osmxml.expand(spark, str(files / "a.osm"), root)
+    xmlfiles.expand(spark, str(files / "a.osm"), root)
     start = OsmDataset.open(spark, root)
     start.metadata[SEQNUM] = "0"
     start.publish(root)
@@ -297,12 +297,12 @@ def test_catching_up_equals_one_batch_and_does_not_repeat(spark, files, tmp_path
     run()
     now = OsmDataset.open(spark, root)
     assert now.get_metadata(SEQNUM) == "5" and now.get_metadata(TIMESTAMP) == "2024-01-05T00:00:00Z"
-    osmxml.register(spark)
+    xmlfiles.register(spark)
     files_now = ",".join(os.path.join(folder, replication.path_of(s)) + ".osc.gz" for s in range(1, 6))
-    at_once = up.update(start, spark.read.format("osmchange").option("seq", 1).load(files_now))
+    at_once = up.update(start, spark.read.format("changes_xml").option("seq", 1).load(files_now))
     assert pairs(now.locations) == pairs(at_once.locations)
     version = now.version
-    assert catchup.apply_batch(spark, root, replication.Feed(folder), spark.read.format("osmchange").option("seq", 1).load(files_now)) is None
+    assert catchup.apply_batch(spark, root, replication.Feed(folder), spark.read.format("changes_xml").option("seq", 1).load(files_now)) is None
     run()
     assert OsmDataset.open(spark, root).version == version
 
@@ -313,7 +313,7 @@ def test_command_line(spark, files, tmp_path, capsys):
     assert cli.main(["extract", root, out, "--bbox", "-1,-1,1,1", "--noUserData", "--jsonOutput"], spark) == 0
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert set(lines[-1]) == {"Timestamp", "CellsTotal", "CellsProg", "NodesTotal", "NodesProg", "ElemsTotal", "ElemsProg"}
-    assert sorted(r["id"] for r in spark.read.format("osmxml").load(out).where("type <> 'node'").collect()) == [10, 11, 20, 21, 22]
+    assert sorted(r["id"] for r in spark.read.format("elements_xml").load(out).where("type <> 'node'").collect()) == [10, 11, 20, 21, 22]
     assert 'uid="3"' not in open(out).read()
     assert cli.main(["update", root, str(files / "a.osc.gz"), "5", "2024-02-02T00:00:00Z", "--commit"], spark) == 0
     for what, want in ((["seqnum"], "5"), (["timestamp"], "2024-02-02T00:00:00Z"), (["way", "10"], "2 3"), (["relation", "21"], "relation 20"), (["node", "6"], "1.2500000 1.0000000\na=b"), (["node", "404"], "not found"), ([], "locations: 6")):
