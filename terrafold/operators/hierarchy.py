@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.operators.closure import transitive
 from terrafold.scratch import Scratch
 
 def _none() -> Column:
@@ -171,14 +172,47 @@ class Hierarchy:
         return at.join(self.reached(), "head").select("id", "top", (F.col("d") + F.col("below")).alias("depth"), "cyclic")
 
     def paths(self) -> DataFrame:
-        """``id, head, depth, path``: the way from the fragment's head as chain segments ``first..last``.
+        """``id, top, depth, path``: the shortest way from a top to each node, as chain segments (first node, length).
 
-        A segment stands for consecutive nodes of a heavy path, so that the path of a node that is a million steps deep
-        still has at most log2(n) entries.
+        Of several tops the nearest counts, then the one with the least id.  A segment stands for consecutive nodes of a
+        heavy path, so within a fragment the path of a node that is a million steps deep still has at most log2(n) of them.
         """
-        own = self.nodes.select("id", "head", "depth", "chain", "pos")
-        segs = F.concat("segs", F.array(F.struct(F.col("chain"), F.col("pos").alias("upto"))))
-        return own.join(self.chains.select("chain", "segs"), "chain").select("id", "head", "depth", segs.alias("path"))
+        scratch = self.scratch
+        best = self.reached().groupBy("head").agg(F.min(F.struct("d", "top", "via")).alias("b")).select("head", "b.d", "b.top", "b.via")
+        best, _ = scratch.save(best)
+        own = F.concat("segs", F.array(F.struct(F.col("chain"), F.col("pos").alias("upto"))))
+        at = self.nodes.join(self.chains.select("chain", "segs"), "chain").select("id", "head", "depth", own.alias("segs"))
+        at, _ = scratch.save(at)
+        empty = F.array().cast(dict(at.dtypes)["segs"])
+        done, m = scratch.save(best.where("via is null").select("head", empty.alias("before")))
+        wait, k = scratch.save(best.where("via is not null").select("head", F.col("via").alias("id")).join(at.select("id", F.col("head").alias("over"), "segs"), "id").select("head", "over", "segs"))
+        front = done
+        while k["n"] and m["n"]:  # one round for every fragment that a path goes through
+            front = wait.join(front.select(F.col("head").alias("over"), "before"), "over").select("head", F.concat("before", "segs").alias("before"))
+            front, m = scratch.save(front)
+            done = done.unionByName(front)
+        j = at.join(done, "head").join(best.select("head", "d", "top"), "head")
+        return j.select("id", "top", (F.col("d") + F.col("depth")).alias("depth"), F.concat("before", "segs").alias("path"))
+
+    def below(self) -> DataFrame:
+        """``id, chain, from_pos, to_pos``: all descendants of each node as chain intervals, in whatever fragment.
+
+        A node that contains itself is among its own descendants.  A link out of a node's subtree into the head of another
+        fragment brings that fragment whole, and whatever its own links reach.
+        """
+        scratch = self.scratch
+        heads = transitive(self.bridges.select("head", "child"))
+        steps = self.nodes.join(self.chains.select("chain", "segs"), "chain").select(F.col("id").alias("via"), F.explode(F.concat("segs", F.array(F.struct(F.col("chain"), F.col("pos").alias("upto"))))).alias("s"))
+        out = self.bridges.select("via", "child").join(steps, "via").select("child", F.col("s.chain").alias("chain"), F.col("s.upto").alias("upto"))
+        left = self.nodes.select("id", "chain", "pos").join(out, "chain").where("pos <= upto").select("id", F.col("child").alias("head")).distinct()
+        left, _ = scratch.save(left)
+        far = left.join(heads.select(F.col("a").alias("head"), F.col("b").alias("next")), "head").select("id", F.col("next").alias("head"))
+        whole, _ = scratch.save(left.union(far).distinct())
+        ends = self.nodes.groupBy("head", "chain").agg(F.max("pos").alias("to_pos"))
+        filled = whole.join(ends, "head").select("id", "chain", F.lit(0).cast("long").alias("from_pos"), "to_pos")
+        own = self.nodes.join(whole, ["id", "head"], "left_anti")  # the others have their fragment whole
+        loops = own.where("cyclic").select("id", "chain", F.col("pos").alias("from_pos"), F.col("pos").alias("to_pos"))
+        return filled.unionByName(self.intervals().join(own.select("id"), "id", "left_semi")).unionByName(loops)
 
     def intervals(self) -> DataFrame:
         """``id, chain, from_pos, to_pos``: the descendants of each node within its fragment as chain intervals."""

@@ -23,16 +23,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The path of each relation from the head of its fragment, as heavy-path segments ``first+length``."""
+    """The shortest path to each relation from a top, as heavy-path segments ``first+steps``."""
     p = hierarchy.resolve(spark, _relation_links(spark, d)).paths()
     text = F.array_join(F.transform("path", lambda s: F.concat(s["chain"].cast("string"), F.lit("+"), s["upto"].cast("string"))), "/")
-    return p.select(F.col("id").alias("relation_id"), F.col("head").alias("head_id"), "depth", text.alias("path"))
+    return p.select(F.col("id").alias("relation_id"), F.col("top").alias("root_id"), "depth", text.alias("path"))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """How many relations lie below each within its fragment, from the chain intervals."""
-    i = hierarchy.resolve(spark, _relation_links(spark, d)).intervals()
-    return i.groupBy(F.col("id").alias("relation_id")).agg(F.sum(F.col("to_pos") - F.col("from_pos") + 1).alias("n_below"), F.count(F.lit(1)).alias("n_intervals"))
+    """How many relations lie below each, from the chain intervals."""
+    i = hierarchy.resolve(spark, _relation_links(spark, d)).below()
+    return i.groupBy(F.col("id").alias("relation_id")).agg(F.sum(F.col("to_pos") - F.col("from_pos") + 1).alias("n_below"))
 
 
 def _cell_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -193,6 +193,11 @@ walk(top, x, d) AS (SELECT g, x, CAST(0 AS BIGINT) FROM tops
                     WHERE gc.g <> w.top AND w.d < (SELECT count(*) FROM node))
 SELECT w.x AS relation_id, w.top AS root_id, min(w.d) AS depth, CASE WHEN any_value(grp.cyc) THEN 'cycle' ELSE 'tree' END AS kind
 FROM walk w JOIN grp ON grp.x = w.x GROUP BY w.x, w.top""",
+    "p1_descendants": f"""
+WITH RECURSIVE {_CURRENT_RELATIONS},
+e AS (SELECT DISTINCT id AS p, m.ref AS c FROM (SELECT id, unnest(members) AS m FROM cr) WHERE m.type = 'relation' AND m.ref IN (SELECT id FROM cr)),
+reach(a, b) AS (SELECT p, c FROM e UNION SELECT r.a, e.c FROM reach r JOIN e ON e.p = r.b)
+SELECT a AS relation_id, count(*) AS n_below FROM reach GROUP BY a""",
     "p2_found": """
 WITH s AS (SELECT cell, count(DISTINCT node_id) AS n FROM cell_node WHERE cell IS NOT NULL GROUP BY cell)
 SELECT cell FROM s WHERE n * 100 >= (SELECT sum(n) FROM s)""",

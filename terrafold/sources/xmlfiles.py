@@ -10,6 +10,7 @@ import bz2
 import glob
 import gzip
 import io
+import lzma
 import os
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -28,12 +29,14 @@ ACTIONS = ("create", "modify", "delete")
 def opened(path: str):
     """A binary stream of a file's plain content."""
     f = open(path, "rb")
-    head = f.read(4)
+    head = f.read(6)
     f.seek(0)
     if head[:2] == b"\x1f\x8b":
         return gzip.open(f)
     if head[:3] == b"BZh":
         return bz2.open(f)
+    if head == b"\xfd7zXZ\x00":
+        return lzma.open(f)
     return f
 
 

@@ -68,12 +68,38 @@ def shifted():
 
 def test_against_plain_search(spark):
     links = shifted()
-    assert solve(spark, links)[1] == brute(links)
+    h, got = solve(spark, links)
+    assert got == brute(links)
+
+    edges = {e for e in links if None not in e}
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+    at = {(r["chain"], r["pos"]): r["id"] for r in h.nodes.collect()}
+    below = defaultdict(list)
+    for r in h.below().collect():
+        below[r["id"]] += [at[r["chain"], k] for k in range(r["from_pos"], r["to_pos"] + 1)]
+    for x in {x for e in edges for x in e}:
+        seen, todo = set(), [x]
+        while todo:
+            for y in out[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        assert sorted(below[x]) == sorted(seen), x
+    least = {}
+    for i, top, d, _ in got:
+        least[i] = min(least.get(i, (d, top)), (d, top))
+    tops = {i for i, _, d, _ in got if d == 0}
+    paths = h.paths().collect()
+    assert {(r["id"], r["top"], r["depth"]) for r in paths} == {(i, top, d) for i, (d, top) in least.items()}
+    for r in paths:
+        way = [at[s["chain"], k] for s in r["path"] for k in range(s["upto"] + 1)]
+        assert way[-1] == r["id"] and way[0] in tops and len(way) == r["depth"] + 1 and all(e in edges for e in zip(way, way[1:]))
 
 
 def test_no_links(spark):
     h = hierarchy.resolve(spark, spark.createDataFrame([], "parent bigint, child bigint"))
-    assert h.membership().count() == 0 and h.paths().count() == 0 and h.intervals().count() == 0
+    assert h.membership().count() == 0 and h.paths().count() == 0 and h.intervals().count() == 0 and h.below().count() == 0
 
 
 def test_paths_and_intervals_of_a_random_tree(spark):
@@ -95,7 +121,7 @@ def test_paths_and_intervals_of_a_random_tree(spark):
         while x in parent:
             x = parent[x]
             real.insert(0, x)
-        assert way == real and r["depth"] == len(real) - 1 and r["head"] == 1
+        assert way == real and r["depth"] == len(real) - 1 and r["top"] == 1
         assert len(r["path"]) <= 7
     got = defaultdict(list)
     for r in h.intervals().collect():
