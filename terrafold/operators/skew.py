@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.scratch import Scratch
+
 #: Rows that are combined locally into one state per key.
 CHUNK_ROWS = 250_000
 #: States of a key that one task merges in a round.
@@ -62,6 +64,6 @@ def key_sizes(df: DataFrame, key: str, member: str, rows: int, chunk_rows: int =
 
 
 def heavy_keys(sizes: DataFrame, key: str, share: int) -> DataFrame:
-    """The keys with at least 1/share of all that ``sizes`` counts."""
-    total = sizes.agg(F.sum("n").alias("total")).scalar()
-    return sizes.where(F.col("n") * share >= total).select(key)
+    """The keys with at least 1/share of all that ``sizes`` counts; sizes is worked out once, its total in the same pass."""
+    sizes, m = Scratch(sizes.sparkSession).save(sizes.select(key, "n"), total=F.sum("n"))
+    return sizes.where(F.col("n") * share >= m["total"]).select(key)
