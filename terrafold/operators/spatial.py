@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from terrafold.region import Cap, Polygon, Rect, Region, RegionError
 from terrafold.scratch import Scratch
+from terrafold.ship import ship
 
 EARTH_M = 6_371_000.0
 MIN_LEVEL, MAX_LEVEL, MAX_CELLS = 3, 16, 400
@@ -91,6 +92,7 @@ def coverage(regions: DataFrame, max_cells: int = MAX_CELLS, max_level: int = MA
                 cells = cover(r, max_cells, max_level)
                 yield pd.DataFrame({"region_id": i, "cell": [(lv << 58) | (x << 29) | y for lv, x, y, _ in cells], "interior": [c[3] for c in cells], "shape": [None if c[3] else shape for c in cells]})
 
+    ship(regions.sparkSession)
     rows = regions.select(F.col("region_id").cast("long"), "kind", "spec").where("region_id is not null").distinct()
     return rows.mapInPandas(run, f"region_id bigint, cell bigint, interior boolean, shape {_SHAPE}")
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terrafold import schemas
+from terrafold.ship import ship
 
 TYPES = ("node", "way", "relation")
 ACTIONS = ("create", "modify", "delete")
@@ -168,6 +169,7 @@ class OsmChange(DataSource):
 def register(spark: SparkSession) -> None:
     from terrafold.sources import pbf, replication, xmlsink
 
+    ship(spark)
     for s in (ElementsXml, OsmChange, pbf.OsmPbf, replication.Replication, xmlsink.ElementsXmlSink):
         spark.dataSource.register(s)
 
