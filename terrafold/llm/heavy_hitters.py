@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.scratch import Scratch
+from terrafold.ship import ship
 
 DEPTH, WIDTH = 4, 2048
 _SCHEMA = "row int, cell int, total bigint, candidate bigint, surplus bigint"
@@ -97,6 +98,7 @@ def sketch(hashes: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> DataFra
             s.add(b.column(0).to_numpy(zero_copy_only=False))
         yield s.rows()
 
+    ship(hashes.sparkSession)
     parts = hashes.mapInArrow(run, _SCHEMA)
     votes = parts.groupBy("row", "cell", "candidate").agg(F.sum("total").alias("total"), F.sum("surplus").alias("surplus"))
     best = votes.groupBy("row", "cell").agg(F.sum("total").alias("total"), F.sum("surplus").alias("votes"), F.max(F.struct("surplus", "candidate")).alias("b"))

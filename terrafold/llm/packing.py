@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.ship import ship
+
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Share of the tokens that is placed by cost.
 BALANCED = 0.7
@@ -112,6 +114,7 @@ def pack_documents(sizes: DataFrame, capacities: DataFrame, rows: int, key: str
         return pd.concat(parts)
 
     pack_kind = dict(capacities.dtypes)["pack_id"]
+    ship(sizes.sparkSession)
     if not packs:
         placed = placed.where("false")
     out = placed.groupBy("shard").applyInPandas(run, f"pack_id {pack_kind}, container_id bigint, doc_id string, start int, n_tokens int")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.ship import ship
+
 #: Splits text into words before byte pairs are merged. Fixed value: finds the same words as the pattern published with the
 #: vocabulary, written with possessive repeats, which spare the engine its way back.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -80,6 +82,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "ids"])
 
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -93,6 +96,7 @@ def count(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             n = np.fromiter((len(ids_of(t.as_py(), ranks)) for t in b.column(1)), np.int32, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=[key, "n_tokens"])
 
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens int")
 
@@ -106,6 +110,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", path: str | None = None) ->
             out = [None if x is None else bytes_of(x, ranks) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=[key, "bytes"])
 
+    ship(encoded.sparkSession)
     kind = dict(encoded.dtypes)[key]
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, bytes binary")
 
@@ -124,5 +129,6 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
                 same.append(bytes_of(ids, ranks) == (s or "").encode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(same)], names=[key, "n_tokens", "same"])
 
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_tokens int, same boolean")
