@@ -31,8 +31,9 @@ _BUCKET_LEVEL = 7
 def in_ranges(df: DataFrame, ranges: list[tuple[int, int]], cell: str = "cell") -> DataFrame:
     """Rows whose cell lies in one of some sorted disjoint half-open ranges.
 
-    A covering has at most 1,024 ranges, so the table of them is small by construction.  A plain range join would compare
-    every row with every range; here rows meet ranges by the equality of a coarse cell.
+    A covering has at most 1,024 ranges, and there are 98,304 coarse cells, so the table of ranges by coarse cell has fewer
+    than 100,000 rows by construction.  A plain range join would compare every row with every range; here rows meet ranges
+    by the equality of a coarse cell.
     """
     if not ranges:
         return df.where("false")
