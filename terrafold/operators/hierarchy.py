@@ -214,6 +214,11 @@ class Hierarchy:
         loops = own.where("cyclic").select("id", "chain", F.col("pos").alias("from_pos"), F.col("pos").alias("to_pos"))
         return filled.unionByName(self.intervals().join(own.select("id"), "id", "left_semi")).unionByName(loops)
 
+    def descendants(self) -> DataFrame:
+        """``id, descendant``: :meth:`below` with the nodes themselves, each pair once."""
+        places = self.below().select("id", "chain", F.explode(F.sequence("from_pos", "to_pos")).alias("pos"))
+        return places.join(self.nodes.select(F.col("id").alias("descendant"), "chain", "pos"), ["chain", "pos"]).select("id", "descendant")
+
     def intervals(self) -> DataFrame:
         """``id, chain, from_pos, to_pos``: the descendants of each node within its fragment as chain intervals."""
         ends = self.nodes.groupBy("chain").agg(F.max("pos").alias("to_pos"))

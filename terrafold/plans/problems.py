@@ -35,6 +35,12 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return i.groupBy(F.col("id").alias("relation_id")).agg(F.sum(F.col("to_pos") - F.col("from_pos") + 1).alias("n_below"))
 
 
+def p1_below(spark: SparkSession, d: str) -> DataFrame:
+    """Every relation below each, from the chain intervals."""
+    b = hierarchy.resolve(spark, _relation_links(spark, d)).descendants()
+    return b.select(F.col("id").alias("relation_id"), F.col("descendant").alias("descendant_id"))
+
+
 def _cell_sizes(spark: SparkSession, d: str) -> DataFrame:
     index = T.read(spark, d, "cell_node").select("cell", "node_id")
     return skew.key_sizes(index, "cell", "node_id", rows=index.count())
@@ -114,7 +120,7 @@ def p7_history(spark: SparkSession, d: str) -> DataFrame:
     return history.history(T.read(spark, d, "snapshots"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_cells, p3_found, p3_ways, p3_locations, p5_found, p5_areas, p6_found, p6_report, p7_found, p7_history)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_cells, p3_found, p3_ways, p3_locations, p5_found, p5_areas, p6_found, p6_report, p7_found, p7_history)}
 
 _CURRENT_RELATIONS = "cr AS (SELECT id, arg_max(members, coalesce(meta.version, -1)) AS members, arg_max(meta, coalesce(meta.version, -1)) AS meta FROM relations WHERE id IS NOT NULL GROUP BY id)"
 _CURRENT_WAYS = "cw AS (SELECT id, arg_max(nodes, coalesce(meta.version, -1)) AS nodes, arg_max(meta, coalesce(meta.version, -1)) AS meta FROM ways WHERE id IS NOT NULL GROUP BY id)"
@@ -198,6 +204,11 @@ WITH RECURSIVE {_CURRENT_RELATIONS},
 e AS (SELECT DISTINCT id AS p, m.ref AS c FROM (SELECT id, unnest(members) AS m FROM cr) WHERE m.type = 'relation' AND m.ref IN (SELECT id FROM cr)),
 reach(a, b) AS (SELECT p, c FROM e UNION SELECT r.a, e.c FROM reach r JOIN e ON e.p = r.b)
 SELECT a AS relation_id, count(*) AS n_below FROM reach GROUP BY a""",
+    "p1_below": f"""
+WITH RECURSIVE {_CURRENT_RELATIONS},
+e AS (SELECT DISTINCT id AS p, m.ref AS c FROM (SELECT id, unnest(members) AS m FROM cr) WHERE m.type = 'relation' AND m.ref IN (SELECT id FROM cr)),
+reach(a, b) AS (SELECT p, c FROM e UNION SELECT r.a, e.c FROM reach r JOIN e ON e.p = r.b)
+SELECT a AS relation_id, b AS descendant_id FROM reach""",
     "p2_found": """
 WITH s AS (SELECT cell, count(DISTINCT node_id) AS n FROM cell_node WHERE cell IS NOT NULL GROUP BY cell)
 SELECT cell FROM s WHERE n * 100 >= (SELECT sum(n) FROM s)""",

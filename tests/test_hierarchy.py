@@ -97,6 +97,18 @@ def test_against_plain_search(spark):
         assert way[-1] == r["id"] and way[0] in tops and len(way) == r["depth"] + 1 and all(e in edges for e in zip(way, way[1:]))
 
 
+def test_every_descendant_comes_out_by_name(spark):
+    links = shifted()
+    edges = {e for e in links if None not in e}
+    pairs, new = set(), edges
+    while new - pairs:
+        pairs |= new
+        new = {(a, d) for a, b in pairs for c, d in edges if b == c}
+    h, _ = solve(spark, links)
+    got = [tuple(r) for r in h.descendants().collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+
+
 def test_no_links(spark):
     h = hierarchy.resolve(spark, spark.createDataFrame([], "parent bigint, child bigint"))
     assert h.membership().count() == 0 and h.paths().count() == 0 and h.intervals().count() == 0 and h.below().count() == 0
