@@ -16,6 +16,8 @@ from terrafold.tables import ELEMENTS, current
 #: Bands of about equal size into which the changes are cut.
 BANDS = 3
 KEY = ["type", "id"]
+#: The version of tagged nodes without a position, which any change replaces, even one without a version.
+NOWHERE = -2
 
 
 def deletes(action: Column) -> Column:
@@ -98,6 +100,20 @@ def apply_changes(base: DataFrame, changes: DataFrame, kind: str, payload: list[
     return alive.unionByName(kept)
 
 
+def node_states(locations: DataFrame, nodes: DataFrame, changes: DataFrame, bands: int = BANDS) -> DataFrame:
+    """``id, version, lon_i, lat_i, tags, meta, source``: the state of all nodes, tagged or not, after all changes.
+
+    The base row of a node is its current position beside its current tags.  Whether a change replaces it, tags and all, is
+    up to the version of the position; a node that only has tags and that no change names keeps the version of these.
+    """
+    at = current(locations.select("id", "lon_i", "lat_i", F.col("version").cast("long").alias("version")), "version").withColumn("placed", F.lit(True))
+    base = at.join(current(nodes.select("id", "tags", "meta"), "meta.version"), "id", "full")
+    base = base.withColumn("version", F.when(F.col("placed"), F.col("version")).otherwise(NOWHERE))
+    s = apply_changes(base, changes, "node", ["lon_i", "lat_i", "tags", "meta"], bands=bands)
+    version = F.when(F.col("version") == NOWHERE, F.col("meta.version").cast("long")).otherwise(F.col("version"))
+    return s.select("id", version.alias("version"), "lon_i", "lat_i", "tags", "meta", "source")
+
+
 def feed_verdicts(changes: DataFrame, locations: DataFrame, ways: DataFrame, relations: DataFrame, bands: int = BANDS) -> DataFrame:
     """:func:`verdicts` of a feed over the three base tables as stored."""
     bases = dict(zip(ELEMENTS, (locations.select("id", "version"), ways.select("id", "meta.version"), relations.select("id", "meta.version"))))

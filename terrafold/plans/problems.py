@@ -74,6 +74,21 @@ def p3_locations(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", "version", "lon_i", "lat_i", "source")
 
 
+def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The whole state of all nodes after the feed, tagged or not."""
+    return changefeed.node_states(*[T.read(spark, d, t) for t in ("locations", "nodes", "changes")])
+
+
+def p3_ways_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole state of all ways after the feed, tags and meta included."""
+    return changefeed.apply_changes(T.read(spark, d, "ways"), T.read(spark, d, "changes"), "way", ["nodes", "tags", "meta"], "meta.version")
+
+
+def p3_relations(spark: SparkSession, d: str) -> DataFrame:
+    """The whole state of all relations after the feed."""
+    return changefeed.apply_changes(T.read(spark, d, "relations"), T.read(spark, d, "changes"), "relation", ["members", "tags", "meta"], "meta.version")
+
+
 def _positions(spark: SparkSession, d: str) -> DataFrame:
     return spatial.tagged_positions(T.read(spark, d, "locations"), T.read(spark, d, "nodes"))
 
@@ -120,7 +135,7 @@ def p7_history(spark: SparkSession, d: str) -> DataFrame:
     return history.history(T.read(spark, d, "snapshots"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_cells, p3_found, p3_ways, p3_locations, p5_found, p5_areas, p6_found, p6_report, p7_found, p7_history)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_cells, p3_found, p3_ways, p3_locations, p3_nodes, p3_ways_whole, p3_relations, p5_found, p5_areas, p6_found, p6_report, p7_found, p7_history)}
 
 _CURRENT_RELATIONS = "cr AS (SELECT id, arg_max(members, coalesce(meta.version, -1)) AS members, arg_max(meta, coalesce(meta.version, -1)) AS meta FROM relations WHERE id IS NOT NULL GROUP BY id)"
 _CURRENT_WAYS = "cw AS (SELECT id, arg_max(nodes, coalesce(meta.version, -1)) AS nodes, arg_max(meta, coalesce(meta.version, -1)) AS meta FROM ways WHERE id IS NOT NULL GROUP BY id)"

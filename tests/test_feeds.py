@@ -49,6 +49,27 @@ def test_feed_order_and_tombstones(spark):
     assert changefeed.apply_changes(base, feed(spark, []), "way", ["nodes"]).count() == 5
 
 
+def test_whole_state_of_nodes(spark):
+    tags = lambda v: [("k", v)]
+    at = spark.createDataFrame([(1, 10, 1, 2), (1, 99, 1, 1), (2, 20, 2, 5), (3, 30, 3, 1), (4, 40, 4, 1), (5, 50, 5, None)], "id bigint, lon_i int, lat_i int, version int")
+    tagged = [(1, tags("old"), meta(1)), (1, tags("a"), meta(2)), (2, tags("b"), meta(5)), (4, tags("d"), meta(1)), (7, tags("g"), meta(3)), (8, tags("h"), meta(3)), (9, tags("i"), meta(3)), (10, tags("j"), None)]
+    nodes = spark.createDataFrame(tagged, f"id bigint, tags {TAGS}, meta {META}")
+    rows = [
+        change(9, "modify", "node", 1, 3, 10, lon=11, lat=1, tags=tags("new")),
+        change(10, "modify", "node", 1, 1, 20, lon=12, lat=1, tags=tags("late")),
+        change(1, "modify", "node", 2, 5, 30, lon=21, lat=2),  # as old as the base
+        change(1, "delete", "node", 4, 2, 30),
+        change(1, "delete", "node", 8, 1, 30),
+        change(1, "create", "node", 9, None, 30, lon=91, lat=9, m=False),
+        change(1, "create", "node", 11, 1, 30, lon=13, lat=9, tags=tags("k"), m=False),
+    ]
+    want = {(1, 3, 11, "new", 3, "change"), (2, 5, 20, "b", 5, "base"), (3, 1, 30, None, None, "base"), (5, None, 50, None, None, "base"), (7, 3, None, "g", 3, "base")}
+    want |= {(9, -1, 91, None, None, "change"), (10, None, None, "j", None, "base"), (11, 1, 13, "k", None, "change")}
+    for bands in (1, 3):
+        got = changefeed.node_states(at, nodes, feed(spark, rows), bands).collect()
+        assert {(r["id"], r["version"], r["lon_i"], r["tags"] and r["tags"][0]["v"], r["meta"] and r["meta"]["version"], r["source"]) for r in got} == want and len(got) == len(want)
+
+
 def test_random_feeds_do_not_depend_on_order_or_bands(spark):
     rng = random.Random(3)
     rows = []

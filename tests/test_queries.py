@@ -18,6 +18,40 @@ def test_query_equals_sql(spark, name):
     assert spark_rows(entry.queries()[name](spark, FOLDER)) == sql_rows(FOLDER, entry.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name, kind, columns", [("p3_nodes", "node", ("lon_i", "lat_i", "tags", "meta")), ("p3_ways_whole", "way", ("nodes", "tags", "meta")), ("p3_relations", "relation", ("members", "tags", "meta"))])
+def test_whole_state_after_the_feed(spark, name, kind, columns):
+    """Every element, and all it carries, against plain Python."""
+    import pyarrow.parquet as pq
+
+    table = lambda t: pq.read_table(f"{FOLDER}/{t}.parquet").to_pylist()
+    of = lambda r: -1 if not r["meta"] or r["meta"]["version"] is None else r["meta"]["version"]
+    now = {}
+    for r in table(f"{kind}s"):
+        if r["id"] is not None and (r["id"] not in now or of(r) > of(now[r["id"]])):
+            now[r["id"]] = r
+    version = {i: r["meta"] and r["meta"]["version"] for i, r in now.items()}
+    if kind == "node":
+        at = {}
+        for r in table("locations"):
+            if r["id"] not in at or r["version"] > at[r["id"]]["version"]:
+                at[r["id"]] = r
+        version |= {i: r["version"] for i, r in at.items()}
+        now = {i: {"lon_i": None, "lat_i": None, "tags": None, "meta": None} | now.get(i, {}) | at.get(i, {}) for i in {*now, *at}}
+    last = {}
+    for c in table("changes"):
+        rank = (c["version"], -1 if not c["meta"] or c["meta"]["timestamp"] is None else c["meta"]["timestamp"])
+        if c["type"] == kind and c["id"] is not None and (c["id"] not in last or rank > last[c["id"]][0]):
+            last[c["id"]] = rank, c
+    want = {i: (version[i], "base", *[r[c] for c in columns]) for i, r in now.items()}
+    for i, (rank, c) in last.items():
+        if i not in now or rank[0] > (-1 if version[i] is None else version[i]):
+            want[i] = (rank[0], "change", *[c[k] for k in columns])
+            if c["action"].strip().lower() == "delete":
+                del want[i]
+    rows = [r.asDict(recursive=True) for r in entry.queries()[name](spark, FOLDER).collect()]
+    assert len(rows) == len(want) and {r["id"]: (r["version"], r["source"], *[r[c] for c in columns]) for r in rows} == want
+
+
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     n = {f"p{i}_" for i in (1, 2, 3, 5, 6, 7)}
