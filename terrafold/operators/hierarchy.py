@@ -171,29 +171,40 @@ class Hierarchy:
         at = self.nodes.select("id", "head", F.col("depth").alias("below"), "cyclic")
         return at.join(self.reached(), "head").select("id", "top", (F.col("d") + F.col("below")).alias("depth"), "cyclic")
 
-    def paths(self) -> DataFrame:
+    def paths(self, every: bool = False) -> DataFrame:
         """``id, top, depth, path``: the shortest way from a top to each node, as chain segments (first node, length).
 
-        Of several tops the nearest counts, then the one with the least id.  A segment stands for consecutive nodes of a
+        Of several tops the nearest counts, then the one with the least id; with ``every``, each top that reaches the node
+        has a row.  A segment stands for consecutive nodes of a
         heavy path, so within a fragment the path of a node that is a million steps deep still has at most log2(n) of them.
         """
         scratch = self.scratch
-        best = self.reached().groupBy("head").agg(F.min(F.struct("d", "top", "via")).alias("b")).select("head", "b.d", "b.top", "b.via")
+        best = self.reached().select("head", "d", "top", "via")
+        if not every:
+            best = best.groupBy("head").agg(F.min(F.struct("d", "top", "via")).alias("b")).select("head", "b.d", "b.top", "b.via")
         best, _ = scratch.save(best)
         own = F.concat("segs", F.array(F.struct(F.col("chain"), F.col("pos").alias("upto"))))
         at = self.nodes.join(self.chains.select("chain", "segs"), "chain").select("id", "head", "depth", own.alias("segs"))
         at, _ = scratch.save(at)
         empty = F.array().cast(dict(at.dtypes)["segs"])
-        done, m = scratch.save(best.where("via is null").select("head", empty.alias("before")))
-        wait, k = scratch.save(best.where("via is not null").select("head", F.col("via").alias("id")).join(at.select("id", F.col("head").alias("over"), "segs"), "id").select("head", "over", "segs"))
+        done, m = scratch.save(best.where("via is null").select("head", "top", empty.alias("before")))
+        wait, k = scratch.save(best.where("via is not null").select("head", "top", F.col("via").alias("id")).join(at.select("id", F.col("head").alias("over"), "segs"), "id").select("head", "top", "over", "segs"))
         front = done
         while k["n"] and m["n"]:  # one round for every fragment that a path goes through
-            front = wait.join(front.select(F.col("head").alias("over"), "before"), "over").select("head", F.concat("before", "segs").alias("before"))
+            front = wait.join(front.select(F.col("head").alias("over"), "top", "before"), ["over", "top"]).select("head", "top", F.concat("before", "segs").alias("before"))
             front, m = scratch.save(front)
             done = done.unionByName(front)
-        j = at.join(done, "head").join(best.select("head", "d", "top"), "head")
+        j = at.join(done, "head").join(best.select("head", "d", "top"), ["head", "top"])
         return j.select("id", "top", (F.col("d") + F.col("depth")).alias("depth"), F.concat("before", "segs").alias("path"))
 
+    def spelled(self, paths: DataFrame) -> DataFrame:
+        """:meth:`paths` with ``ids`` beside them: all nodes of the way, from the member of the top down to the node."""
+        paths, _ = self.scratch.save(paths)
+        steps = paths.select("id", "top", F.posexplode("path").alias("seg", "s")).select("id", "top", "seg", F.col("s.chain").alias("chain"), F.explode(F.sequence(F.lit(0).cast("long"), "s.upto")).alias("pos"))
+        named = steps.join(self.nodes.select("chain", "pos", F.col("id").alias("node")), ["chain", "pos"])
+        ways = named.groupBy("id", "top").agg(F.sort_array(F.collect_list(F.struct("seg", "pos", "node"))).alias("way"))
+        return paths.join(ways.select("id", "top", F.col("way.node").alias("ids")), ["id", "top"])
+
     def below(self) -> DataFrame:
         """``id, chain, from_pos, to_pos``: all descendants of each node as chain intervals, in whatever fragment.
 

@@ -23,10 +23,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The shortest path to each relation from a top, as heavy-path segments ``first+steps``."""
-    p = hierarchy.resolve(spark, _relation_links(spark, d)).paths()
+    """The shortest path to each relation from every top that reaches it, as heavy-path segments ``first+steps`` and as
+    the ids of its relations."""
+    h = hierarchy.resolve(spark, _relation_links(spark, d))
+    p = h.spelled(h.paths(every=True))
     text = F.array_join(F.transform("path", lambda s: F.concat(s["chain"].cast("string"), F.lit("+"), s["upto"].cast("string"))), "/")
-    return p.select(F.col("id").alias("relation_id"), F.col("top").alias("root_id"), "depth", text.alias("path"))
+    return p.select(F.col("id").alias("relation_id"), F.col("top").alias("root_id"), "depth", text.alias("path"), F.col("ids").alias("relation_ids"))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:

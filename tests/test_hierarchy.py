@@ -109,6 +109,18 @@ def test_every_descendant_comes_out_by_name(spark):
     assert len(got) == len(set(got)) and set(got) == pairs
 
 
+def test_every_top_has_its_path(spark):
+    links = shifted()
+    edges = {e for e in links if None not in e}
+    h, got = solve(spark, links)
+    group = {r["id"]: r["grp"] for r in h.nodes.collect()}
+    paths = h.spelled(h.paths(every=True)).collect()
+    assert len(paths) == len(got) and {(r["id"], r["top"], r["depth"]) for r in paths} == {(i, top, d) for i, top, d, _ in got}
+    for r in paths:
+        way = r["ids"]
+        assert group[way[0]] == r["top"] and way[-1] == r["id"] and len(way) == r["depth"] + 1 and all(e in edges for e in zip(way, way[1:]))
+
+
 def test_no_links(spark):
     h = hierarchy.resolve(spark, spark.createDataFrame([], "parent bigint, child bigint"))
     assert h.membership().count() == 0 and h.paths().count() == 0 and h.intervals().count() == 0 and h.below().count() == 0

@@ -52,6 +52,13 @@ def test_whole_state_after_the_feed(spark, name, kind, columns):
     assert len(rows) == len(want) and {r["id"]: (r["version"], r["source"], *[r[c] for c in columns]) for r in rows} == want
 
 
+def test_paths_have_the_pairs_of_p1_found(spark):
+    paths = entry.queries()["p1_paths"](spark, FOLDER).collect()
+    found = {tuple(r) for r in entry.queries()["p1_found"](spark, FOLDER).select("relation_id", "root_id", "depth").collect()}
+    assert len(paths) == len(found) and {(r["relation_id"], r["root_id"], r["depth"]) for r in paths} == found
+    assert all(len(r["relation_ids"]) == r["depth"] + 1 and r["relation_ids"][-1] == r["relation_id"] for r in paths)
+
+
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     n = {f"p{i}_" for i in (1, 2, 3, 5, 6, 7)}
