@@ -6,10 +6,11 @@ whose number of rounds grows with the logarithm of the depth, not with the depth
 1. *Cycle separation.*  Children with one parent form chains that pointer doubling folds onto the ends of the chains;
    what is left is the small graph of the ends, which is trimmed and coloured into strongly connected groups.
 2. *Fragments.*  A node without parents, with several parents or on a cycle heads a fragment, a tree in which every other
-   node has exactly one parent.  Doubling yields depth, head and subtree size.
+   node has exactly one parent.  Doubling yields the subtree size.
 3. *Heavy paths.*  The child with the largest subtree continues its parent's chain, so that any path from a head crosses
    at most log2(n) chains.  A path is the concatenation of that many chain segments; the descendants of a node are an
-   interval of its own chain and the whole chains that hang below that interval.
+   interval of its own chain and the whole chains that hang below that interval.  A node's head and depth are read off
+   the segments above it.
 4. *Heads.*  Distances from the tops to the fragment heads spread over the graph of heads alone; a node's distance is
    that of its head plus its depth within the fragment.
 
@@ -295,23 +296,26 @@ def resolve(spark: SparkSession, links: DataFrame) -> Hierarchy:
     base = base.select("id", F.when((F.col("parents") == 1) & F.col("grp").isNull(), F.col("parent")).alias("parent"), F.coalesce("grp", "id").alias("grp"), (F.col("grp").isNotNull() | F.col("loop").isNotNull()).alias("cyclic"), F.lit(1).alias("w"))
     base, _ = scratch.save(base)
     tree, _ = ascend(scratch, base, sums=True)
-    tree, _ = scratch.save(base.drop("w").join(tree, "id").select("id", "grp", "cyclic", "parent", F.col("root").alias("head"), "depth", F.col("total").alias("size")))
+    tree, _ = scratch.save(base.drop("w").join(tree, "id").select("id", "grp", "cyclic", "parent", F.col("total").alias("size")))
 
     # heavy paths
     heavy = tree.where("parent is not null").groupBy("parent").agg(F.max(F.struct("size", (-F.col("id")).alias("neg"))).alias("best")).select((-F.col("best.neg")).alias("id"), F.lit(True).alias("heavy"))
     runs = tree.join(heavy, "id", "left").select("id", F.when(F.col("heavy"), F.col("parent")).alias("parent"), F.lit(0).alias("w"))
     chain, _ = ascend(scratch, runs)
     nodes, _ = scratch.save(tree.join(chain.select("id", F.col("root").alias("chain"), F.col("depth").alias("pos")), "id"))
-    hang = nodes.where("id = chain").select("chain", "head", F.col("parent").alias("on"))
+    hang = nodes.where("id = chain").select("chain", F.col("parent").alias("on"))
     place = nodes.select(F.col("id").alias("on"), F.col("chain").alias("above"), F.col("pos").alias("upto"))
     empty = F.array().cast("array<struct<chain:bigint,upto:bigint>>")
-    done, m = scratch.save(hang.where("on is null").select("chain", "head", empty.alias("segs")))
-    wait, k = scratch.save(hang.where("on is not null").join(place, "on").select("chain", "head", "above", "upto"))
+    done, m = scratch.save(hang.where("on is null").select("chain", empty.alias("segs")))
+    wait, k = scratch.save(hang.where("on is not null").join(place, "on").select("chain", "above", "upto"))
     front = done
     while k["n"] and m["n"]:  # at most log2(n) rounds: each step down to another chain halves the subtree
-        front = wait.join(front.select(F.col("chain").alias("above"), "segs"), "above").select("chain", "head", F.concat("segs", F.array(F.struct(F.col("above").alias("chain"), "upto"))).alias("segs"))
+        front = wait.join(front.select(F.col("chain").alias("above"), "segs"), "above").select("chain", F.concat("segs", F.array(F.struct(F.col("above").alias("chain"), "upto"))).alias("segs"))
         front, m = scratch.save(front)
         done = done.unionByName(front)
+    chains, _ = scratch.save(done.select("chain", F.coalesce(F.get("segs", F.lit(0))["chain"], "chain").alias("head"), "segs"))
+    above = chains.select("chain", "head", F.aggregate("segs", F.lit(0).cast("long"), lambda n, s: n + s["upto"] + 1).alias("steps"))
+    nodes, _ = scratch.save(nodes.join(above, "chain").select("id", "grp", "cyclic", "head", (F.col("steps") + F.col("pos")).alias("depth"), "size", "parent", "chain", "pos"))
 
     # links into heads, and the tops
     at = nodes.select(F.col("id").alias("via"), F.col("head"), F.col("depth").alias("d"), F.col("grp").alias("from_grp"))
@@ -319,7 +323,7 @@ def resolve(spark: SparkSession, links: DataFrame) -> Hierarchy:
     bridges, _ = scratch.save(edges.select(F.col("parent").alias("via"), "child").join(first, "child").join(at, "via").select("head", "via", "child", (F.col("d") + 1).alias("w"), "from_grp", "to_grp"))
     entered = bridges.where("from_grp <> to_grp").select(F.col("to_grp").alias("grp")).distinct()
     tops, _ = scratch.save(nodes.where("id = head").join(entered, "grp", "left_anti").select("head", F.col("grp").alias("top")))
-    return Hierarchy(scratch, nodes, done, bridges.select("head", "via", "child", "w"), tops)
+    return Hierarchy(scratch, nodes, chains, bridges.select("head", "via", "child", "w"), tops)
 
 
 def member_links(relations: DataFrame) -> DataFrame:

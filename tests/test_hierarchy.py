@@ -121,6 +121,18 @@ def test_every_top_has_its_path(spark):
         assert group[way[0]] == r["top"] and way[-1] == r["id"] and len(way) == r["depth"] + 1 and all(e in edges for e in zip(way, way[1:]))
 
 
+def test_heads_and_depths_come_from_the_chains(spark, monkeypatch):
+    real = hierarchy.ascend
+
+    def sizes_only(scratch, links, sums=False):
+        tree, rest = real(scratch, links, sums)
+        return (tree.selectExpr("id", "-1L as root", "-1L as depth", "total") if sums else tree), rest
+
+    monkeypatch.setattr(hierarchy, "ascend", sizes_only)
+    links = shifted()
+    assert solve(spark, links)[1] == brute(links)
+
+
 def test_no_links(spark):
     h = hierarchy.resolve(spark, spark.createDataFrame([], "parent bigint, child bigint"))
     assert h.membership().count() == 0 and h.paths().count() == 0 and h.intervals().count() == 0 and h.below().count() == 0
