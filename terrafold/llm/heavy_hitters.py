@@ -157,14 +157,30 @@ def _cell_column(row: int, width: int) -> Column:
 
 
 def top_k(items: DataFrame, cols: list[str], k: int, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
-    """``*cols, lower, upper``: the k candidates with the highest lower bound, from the sketch alone; the input is read
-    again only to put names to the k hashes."""
+    """``*cols, n, lower, upper``: the k most frequent items with their exact count and the bounds that the sketch had for
+    it (0 and the count itself: no candidate, found among the undecided).
+
+    At least k items reach the k-th highest lower bound, so only what the bounds allow to reach it is counted, and cut to k
+    after that; of equal counts the least item comes first.  With fewer than k sure candidates everything is counted.
+    """
     keyed = items.select(*cols, item_hash(*cols).alias("h"))
     cells, _ = Scratch(items.sparkSession).save(sketch(keyed.select("h"), depth, width))
-    best = {r["candidate"]: r for r in sketched(cells).orderBy(F.desc("lower"), F.desc("upper"), "candidate").limit(k).collect()}
-    if not best:
-        return items.select(*cols).where("false").withColumns({"lower": F.lit(0).cast("long"), "upper": F.lit(0).cast("long")})
-    names = keyed.where(F.col("h").isin(list(best))).groupBy("h").agg(F.min(F.struct(*cols)).alias("i"))
-    low = F.create_map(*[F.lit(x) for h, r in best.items() for x in (h, r["lower"])])
-    high = F.create_map(*[F.lit(x) for h, r in best.items() for x in (h, r["upper"])])
-    return names.select(*[F.col(f"i.{c}").alias(c) for c in cols], low[F.col("h")].alias("lower"), high[F.col("h")].alias("upper"))
+    best = [r["lower"] for r in sketched(cells).orderBy(F.desc("lower")).limit(k).collect()]
+    least = F.lit(max(1, best[-1] if len(best) == k else 1))
+    named, unsure = _in_question(items, cells, least, depth, width)
+    bounds = named.select(F.col("candidate").alias("h"), "lower", F.floor("upper").cast("long").alias("upper"))
+    kept = keyed.join(F.broadcast(bounds), "h", "left")  # at most depth * width rows
+    hidden = F.col("lower").isNull()
+    for r, open_cells in enumerate(_open_cells(unsure, depth)):  # at most depth * width cells
+        hidden = hidden & _cell_column(r, width).isin(open_cells)
+    exact = kept.where(F.col("lower").isNotNull() | hidden).groupBy(*cols, "h").agg(F.count(F.lit(1)).alias("n"), F.max("lower").alias("lower"), F.max("upper").alias("upper"))
+    top = exact.orderBy(F.desc("n"), *cols).limit(k)
+    return top.select(*cols, "n", F.coalesce("lower", F.lit(0)).cast("long").alias("lower"), F.coalesce("upper", "n").cast("long").alias("upper"))
+
+
+def _open_cells(unsure: DataFrame, depth: int) -> list[list[int]]:
+    """The cells of each row that may hide an item."""
+    out: list[list[int]] = [[] for _ in range(depth)]
+    for r in unsure.collect():
+        out[r["row"]].append(r["cell"])
+    return out

@@ -31,7 +31,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_top(spark: SparkSession, d: str) -> DataFrame:
-    """The top entries and the bounds of their counts, by the sketch alone."""
+    """The top entries, their exact counts and the bounds that the sketch had for them."""
     return heavy_hitters.top_k(_tags(spark, d), ["k", "v"], TOP_K)
 
 

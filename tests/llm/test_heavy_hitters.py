@@ -49,6 +49,18 @@ def test_top_k(spark):
     assert {(r["k"], r["lower"], r["upper"]) for r in got} == {("a", 8, 8), ("b", 6, 6), ("c", 4, 4)}
 
 
+def test_top_k_against_a_count(spark):
+    rng = random.Random(4)
+    entries = [("k", str(int(rng.paretovariate(0.6)) % 3000)) for _ in range(6000)] + [(None, "x")] * 90 + [("x", None)] * 85
+    real = Counter(entries)
+    df = rows(spark, entries)
+    want = sorted(real.items(), key=lambda e: (-e[1], e[0][0] or "", e[0][1] or ""))[:12]
+    for width in (4, 32, 2048):  # with few cells surpluses cancel out
+        got = hh.top_k(df, ["k", "v"], 12, width=width).collect()
+        assert [((r["k"], r["v"]), r["n"]) for r in got] == want, width
+        assert all(r["lower"] <= r["n"] <= r["upper"] for r in got)
+
+
 def test_empty_and_null_tags(spark):
     t = spark.createDataFrame([(None,), ([],), ([None, ("a", "b")],)], f"tags {TAGS}")
     e = hh.entries([t, t])
