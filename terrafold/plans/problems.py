@@ -32,13 +32,13 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """How many relations lie below each, from the chain intervals."""
+    """How many relations lie below each, from the intervals of numbers."""
     i = hierarchy.resolve(spark, _relation_links(spark, d)).below()
-    return i.groupBy(F.col("id").alias("relation_id")).agg(F.sum(F.col("to_pos") - F.col("from_pos") + 1).alias("n_below"))
+    return i.groupBy(F.col("id").alias("relation_id")).agg(F.sum(F.col("to_pre") - F.col("from_pre") + 1).alias("n_below"))
 
 
 def p1_below(spark: SparkSession, d: str) -> DataFrame:
-    """Every relation below each, from the chain intervals."""
+    """Every relation below each, from the intervals of numbers."""
     b = hierarchy.resolve(spark, _relation_links(spark, d)).descendants()
     return b.select(F.col("id").alias("relation_id"), F.col("descendant").alias("descendant_id"))
 

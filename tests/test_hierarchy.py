@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from terrafold.operators import hierarchy
 
 
@@ -33,9 +35,9 @@ def brute(links):
     return res
 
 
-def solve(spark, links):
+def solve(spark, links, task_links=hierarchy.TASK_LINKS):
     df = spark.createDataFrame([(*e, "extra") for e in links], "parent bigint, child bigint, id string")
-    h = hierarchy.resolve(spark, df)
+    h = hierarchy.resolve(spark, df, task_links)
     return h, {tuple(r) for r in h.membership().select("id", "top", "depth", "cyclic").collect()}
 
 
@@ -66,19 +68,22 @@ def shifted():
     return out
 
 
-def test_against_plain_search(spark):
+@pytest.mark.parametrize("task_links", [hierarchy.TASK_LINKS, 0])
+def test_against_plain_search(spark, task_links):
+    """By one task and in rounds."""
     links = shifted()
-    h, got = solve(spark, links)
+    h, got = solve(spark, links, task_links)
     assert got == brute(links)
 
     edges = {e for e in links if None not in e}
     out = defaultdict(set)
     for a, b in edges:
         out[a].add(b)
-    at = {(r["chain"], r["pos"]): r["id"] for r in h.nodes.collect()}
+    nodes = h.nodes.collect()
+    at, number = {(r["chain"], r["pos"]): r["id"] for r in nodes}, {(r["head"], r["pre"]): r["id"] for r in nodes}
     below = defaultdict(list)
     for r in h.below().collect():
-        below[r["id"]] += [at[r["chain"], k] for k in range(r["from_pos"], r["to_pos"] + 1)]
+        below[r["id"]] += [number[r["head"], k] for k in range(r["from_pre"], r["to_pre"] + 1)]
     for x in {x for e in edges for x in e}:
         seen, todo = set(), [x]
         while todo:
@@ -109,10 +114,11 @@ def test_every_descendant_comes_out_by_name(spark):
     assert len(got) == len(set(got)) and set(got) == pairs
 
 
-def test_every_top_has_its_path(spark):
+@pytest.mark.parametrize("task_links", [hierarchy.TASK_LINKS, 0])
+def test_every_top_has_its_path(spark, task_links):
     links = shifted()
     edges = {e for e in links if None not in e}
-    h, got = solve(spark, links)
+    h, got = solve(spark, links, task_links)
     group = {r["id"]: r["grp"] for r in h.nodes.collect()}
     paths = h.spelled(h.paths(every=True)).collect()
     assert len(paths) == len(got) and {(r["id"], r["top"], r["depth"]) for r in paths} == {(i, top, d) for i, top, d, _ in got}
@@ -121,16 +127,53 @@ def test_every_top_has_its_path(spark):
         assert group[way[0]] == r["top"] and way[-1] == r["id"] and len(way) == r["depth"] + 1 and all(e in edges for e in zip(way, way[1:]))
 
 
-def test_heads_and_depths_come_from_the_chains(spark, monkeypatch):
-    real = hierarchy.ascend
+def test_heads_and_depths_come_from_the_chain_segments(spark):
+    """Spoilt segments spoil the result, so nothing else leads to it."""
+    real = hierarchy.chain_segments
+    try:
+        hierarchy.chain_segments = lambda scratch, tree: real(scratch, tree).selectExpr("id", "pre", "transform(segs, s -> struct(s.chain as chain, s.upto + 1 as upto)) as segs")
+        got = solve(spark, CASES["chain"])[1]
+    finally:
+        hierarchy.chain_segments = real
+    assert got == {(i, t, d + 1, c) for i, t, d, c in brute(CASES["chain"])}
 
-    def sizes_only(scratch, links, sums=False):
-        tree, rest = real(scratch, links, sums)
-        return (tree.selectExpr("id", "-1L as root", "-1L as depth", "total") if sums else tree), rest
 
-    monkeypatch.setattr(hierarchy, "ascend", sizes_only)
-    links = shifted()
-    assert solve(spark, links)[1] == brute(links)
+def ladder(n):
+    """Each node under the two before it."""
+    return [(i - k, i) for i in range(1, n) for k in (1, 2) if i >= k]
+
+
+def test_rounds_do_not_follow_the_depth(spark, monkeypatch):
+    made = {}
+    for n in (32, 1024):
+        h, got = solve(spark, ladder(n))
+        assert got == {(i, 0, (i + 1) // 2, False) for i in range(n)}
+        assert h.paths().where(f"id = {n - 1}").first()["depth"] == n // 2
+        made[n] = h.scratch.made
+    assert made[1024] - made[32] <= 3
+    for n in (32, 1024):
+        h, _ = solve(spark, [(i, i + 1) for i in range(n)])
+        made[n] = h.scratch.made
+    assert made[1024] - made[32] <= 12  # two passes of doubling, five times the logarithm
+
+
+def test_a_spine_has_one_interval_for_each_node(spark):
+    n = 200
+    h, _ = solve(spark, [(i, i + 1) for i in range(n)] + [(i, 1000 + i) for i in range(n)])
+    rows = h.intervals().collect()
+    assert len(rows) == n and {r["id"]: r["to_pre"] - r["from_pre"] + 1 for r in rows} == {i: 2 * (n - i) for i in range(n)}
+    assert h.below().count() == n
+
+
+def test_many_children_are_numbered_in_buckets(spark):
+    rows = [(1, None, 301)] + [(i, 1, 3 if i % 50 == 0 else 1) for i in range(2, 290)]
+    tree = spark.createDataFrame(rows, "id bigint, parent bigint, size bigint")
+    for siblings in (7, 1000):
+        got = sorted((r["off"], r["size"], r["id"], r["heavy"]) for r in hierarchy.sibling_offsets(tree, siblings).where("parent is not null").collect())
+        at = 1
+        for off, size, ident, heavy in got:  # no gaps and no overlaps
+            assert off == at and heavy == (ident == 50)
+            at += size
 
 
 def test_no_links(spark):
@@ -159,10 +202,9 @@ def test_paths_and_intervals_of_a_random_tree(spark):
             real.insert(0, x)
         assert way == real and r["depth"] == len(real) - 1 and r["top"] == 1
         assert len(r["path"]) <= 7
-    got = defaultdict(list)
-    for r in h.intervals().collect():
-        got[r["id"]] += [at[r["chain"], k] for k in range(r["from_pos"], r["to_pos"] + 1)]
-    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in below.items() if v}
+    number = {(r["head"], r["pre"]): i for i, r in nodes.items()}
+    got = {r["id"]: {number[r["head"], k] for k in range(r["from_pre"], r["to_pre"] + 1)} for r in h.intervals().collect()}
+    assert got == {i: v for i, v in below.items() if v}
 
 
 def test_members_of_other_types_and_missing_ones_make_no_links(spark):
