@@ -2,20 +2,20 @@
 
 A document of n tokens costs ``LINEAR * n + QUADRATIC * n * n``, the second part standing for attention within it.
 Documents go in descending order to the container of the lowest cost so far that still has room; as many containers are
-open from the start as the tokens need at least, and one more is opened only when an item fits nowhere.  Once 7/10 of the
-tokens are placed the costs are settled, and the small documents that remain go to the container with the tightest room
-that fits, the cheaper one of equals: spread by cost to the end, they would leave every container a gap that nothing fits
-into.  A document over the capacity, and only such a one, is split: into full containers of its own and a rest that is packed like any other.
+open from the start as the tokens need at least, and one more is opened only when an item fits nowhere.  Costs are estimates
+and are compared in steps of a STEPS-th of what a full container costs; of containers on the same step the one with the
+tightest room takes the document.  The rule is the same for every document.  A document over the capacity, and only such a
+one, is split: into full containers of its own and a rest that is packed like any other.
 
 Packing is done in shards.  A shard holds so many documents that the last, part-filled containers are a negligible share
-of all, and so few that one task packs it in memory; rows are dealt to shards by their place in the input, so that
-repeated ids or equal lengths never gather in one of them.
+of all, and so few that one task packs it in memory.  A document's shard follows from its id, its size and its number among
+rows that agree in both, so neither repeated rows nor equal lengths gather in one shard, and the containers' contents don't
+depend on how the input is split.
 """
 
 from __future__ import annotations
 
 import bisect
-import heapq
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,18 +24,48 @@ from pyspark.sql import functions as F
 from terrafold.ship import ship
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Share of the tokens that is placed by cost.
-BALANCED = 0.7
+#: Steps of cost between an empty and a full container.
+STEPS = 8
 #: Documents per shard, about.
 SHARD_ROWS = 25_000
+#: Copies of a row that one row stands for until they are told apart.
+_COPIES = 10_000
 
 
 def cost(n: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> float:
     return linear * n + quadratic * n * n
 
 
-def pack(sizes: list[int], capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:
-    """``(item, container, start, length)`` of every piece; start is its offset within the item.
+class _Open:
+    """Open containers by step of cost, on each step by room."""
+
+    def __init__(self) -> None:
+        self.steps: list[int] = []
+        self.rooms: dict[int, list[tuple[int, int]]] = {}
+
+    def put(self, step: int, room: int, box: int) -> None:
+        if step not in self.rooms:
+            self.rooms[step] = []
+            bisect.insort(self.steps, step)
+        bisect.insort(self.rooms[step], (room, box))
+
+    def take(self, n: int) -> tuple[int, int] | None:
+        """The container with room for n on the lowest step, there the tightest and then the oldest one."""
+        for step in self.steps:
+            here = self.rooms[step]
+            at = bisect.bisect_left(here, (n, -1))
+            if at < len(here):
+                found = here.pop(at)
+                if not here:
+                    self.steps.remove(step)
+                    del self.rooms[step]
+                return found
+        return None
+
+
+def pack(sizes: list[int], capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC, steps: int = STEPS) -> list[tuple[int, int, int, int]]:
+    """``(item, container, start, length)`` of every piece, in the order in which they are placed; start is its offset
+    within the item.
 
     Items are positions in ``sizes``.  Sizes of 0 take no room but still get a container.  Ties go to the smaller position
     and to the older container.
@@ -51,39 +81,20 @@ def pack(sizes: list[int], capacity: int, linear: float = LINEAR, quadratic: flo
             start += capacity
         rest.append((n - start, i, start))
     rest.sort(key=lambda x: (-x[0], x[1]))
-    first = made
-    room = [capacity] * -(-sum(n for n, _, _ in rest) // capacity)
-    costs = [0.0] * len(room)
-    ready = [(0.0, c) for c in range(len(room))]  # (cost, container): containers that the current size fits into
-    full: list[tuple[int, float, int]] = []  # (-room, cost, container): waiting until sizes have come down to their room
-    total, placed, at = sum(n for n, _, _ in rest), 0, 0
-    while at < len(rest) and placed < BALANCED * total:
-        n, i, start = rest[at]
-        while full and -full[0][0] >= n:
-            r, k, c = heapq.heappop(full)
-            heapq.heappush(ready, (k, c))
-        while ready and room[ready[0][1]] < n:
-            k, c = heapq.heappop(ready)
-            heapq.heappush(full, (-room[c], k, c))
-        if not ready:
-            room.append(capacity)
+    unit = cost(capacity, linear, quadratic) / steps
+    costs = [0.0] * -(-sum(n for n, _, _ in rest) // capacity)
+    boxes = _Open()
+    for c in range(len(costs)):
+        boxes.put(0, capacity, c)
+    for n, i, start in rest:
+        found = boxes.take(n)
+        if found is None:
+            found = (capacity, len(costs))
             costs.append(0.0)
-            ready.append((0.0, len(room) - 1))
-        c = ready[0][1]
-        room[c] -= n
+        room, c = found
         costs[c] += cost(n, linear, quadratic)
-        heapq.heapreplace(ready, (costs[c], c))
-        out.append((i, first + c, start, n))
-        placed, at = placed + n, at + 1
-    rooms = sorted((r, costs[c], c) for c, r in enumerate(room))
-    for n, i, start in rest[at:]:
-        spot = bisect.bisect_left(rooms, (n, -1.0, -1))
-        if spot == len(rooms):
-            room.append(capacity)
-            rooms.append((capacity, 0.0, len(room) - 1))
-        r, k, c = rooms.pop(spot)
-        bisect.insort(rooms, (r - n, k + cost(n, linear, quadratic), c))
-        out.append((i, first + c, start, n))
+        boxes.put(int(costs[c] // unit), room - n, c)
+        out.append((i, made + c, start, n))
     return out
 
 
@@ -91,17 +102,29 @@ def shards_for(rows: int, shard_rows: int = SHARD_ROWS) -> int:
     return max(1, round(rows / shard_rows))
 
 
+def dealt(sizes: DataFrame, shards: int) -> DataFrame:
+    """``doc_id, n_tokens, shard`` of rows ``doc_id, n_tokens``, the same however they are split."""
+    if shards == 1:
+        return sizes.withColumn("shard", F.lit(0))
+    copies = sizes.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("k"))
+    some = copies.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(k - 1) div {_COPIES}"))))
+    last = F.least(F.lit(_COPIES), F.col("k") - F.col("block") * _COPIES).cast("int")
+    each = some.withColumn("i", F.explode(F.sequence(F.lit(1), last)))
+    return each.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id", "n_tokens", "block", "i"), F.lit(shards)).cast("int").alias("shard"))
+
+
 def pack_documents(sizes: DataFrame, capacities: DataFrame, rows: int, key: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``pack_id, container_id, doc_id, start, n_tokens``: one row per piece of a document and capacity.
 
     sizes: ``doc_id, n_tokens``, a null size counts as 0; capacities: ``pack_id, capacity``, a short list that is known in
     advance (rows of the table are read to the driver); null or senseless capacities are left out.  rows: about how many
-    documents there are; it sets the number of shards.  A container_id is unique within a pack_id.
+    documents there are; it sets the number of shards, each of which has a partition of the shuffle.  A container_id is
+    unique within a pack_id.
     """
     packs = [(r["pack_id"], r["capacity"]) for r in capacities.where("pack_id is not null and capacity >= 1").select("pack_id", "capacity").distinct().orderBy("pack_id", "capacity").collect()]
     n = shards_for(rows, shard_rows)
     kind = dict(sizes.dtypes)[key]
-    placed = sizes.select(F.col(key).cast("string").alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("int").alias("n_tokens"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("shard"))
+    placed = dealt(sizes.select(F.col(key).cast("string").alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("int").alias("n_tokens")), n).repartition(n, "shard")
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)

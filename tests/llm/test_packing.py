@@ -37,6 +37,27 @@ def test_little_is_left_unused():
         assert check(sizes, cap) <= -(-sum(sizes) // cap) * 1.005 + 1
 
 
+def test_every_item_goes_to_the_lowest_cost_that_has_room():
+    rng = random.Random(3)
+    for cap in (60, 512, 2048):
+        sizes = [min(cap, int(rng.lognormvariate(4, 1.2))) for _ in range(1500)]
+        unit = packing.cost(cap) / packing.STEPS
+        room, costs = defaultdict(lambda: cap), defaultdict(float)
+        fewest = -(-sum(sizes) // cap)
+        last = cap
+        for i, box, _, n in packing.pack(sizes, cap):
+            assert n == sizes[i] <= last  # in descending order, all by one rule
+            last = n
+            known = {*range(fewest), *room, box}
+            fit = {(int(costs[c] // unit), room[c], c) for c in known if room[c] >= n and (c < fewest or c in costs)}
+            if box in costs or box < fewest:
+                assert (int(costs[box] // unit), room[box], box) == min(fit)
+            else:
+                assert not [f for f in fit if f[2] != box]  # opened as nothing else had room
+            room[box] -= n
+            costs[box] += packing.cost(n)
+
+
 def test_costs_are_balanced():
     sizes = [100] * 40 + [10] * 400
     cost = defaultdict(float)
@@ -45,6 +66,19 @@ def test_costs_are_balanced():
     assert max(cost.values()) < 1.05 * min(cost.values())
 
 
+def test_contents_do_not_depend_on_the_split(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randint(0, 300)) for i in range(400)] + [(5, 50)] * 300
+    caps = spark.createDataFrame([(1, 256)], "pack_id int, capacity int")
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens int")
+    got = [sorted(map(tuple, packing.pack_documents(df.repartition(k), caps, 700, shard_rows=100).collect())) for k in (1, 5)]
+    assert got[0] == got[1] and len({r[1] >> 32 for r in got[0]}) > 4
+    shard = defaultdict(int)
+    for r in got[0]:
+        shard[r[1] >> 32] += r[2] == 5
+    assert max(shard.values()) < 100  # copies of one row are spread
+
+
 def test_edges():
     assert packing.pack([], 5) == []
     assert packing.pack([0, 0], 5) == [(0, 0, 0, 0), (1, 0, 0, 0)]
