@@ -2,8 +2,13 @@
 
 The encoder is tiktoken with a local rank file; the file's path is a parameter (default: environment variable
 ``TERRAFOLD_TOKENIZERS`` or /opt/tokenizers).  A long text is cut before it is encoded, at places where the splitting
-pattern always begins a new word: an ASCII letter or digit followed by a blank or line feed.  No word crosses such a place,
-so the ids are those of the whole text, while the encoder never holds a whole very long text's words at once.
+pattern always begins a new word, and the encoder never holds all words of a very long text at once.  There are two kinds:
+
+* anything but white space, followed by white space: words of the pattern have white space only at their beginning;
+* a letter of the common scripts, followed by punctuation, as in texts without blanks: words of letters end before it.
+
+No word crosses such a place and the pattern never looks back, so the ids are those of the whole text.  A run of letters
+without either, however long, is one word to the pattern and stays whole.
 """
 
 from __future__ import annotations
@@ -21,13 +26,12 @@ from pyspark.sql import functions as F
 
 from terrafold.ship import ship
 
-#: Splits text into words before byte pairs are merged. Fixed value: finds the same words as the pattern published with the
-#: vocabulary, written with possessive repeats, which spare the engine its way back.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts longer than so many characters are encoded in parts of about that length.
-PART = 1 << 16
-_SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
+PART = 1 << 14
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-яא-תء-غف-يअ-हก-ะぁ-ゖァ-ヺ一-龥가-힣"
+_STOP = "!\"#$%&()*,./:;<=>?@\\[\\]{|}~、。〈-】「」『』！（），．：；？"
+_SAFE = re.compile(rf"(?<=\S)(?=[ \t\r\n\u3000])|(?<=[{_LETTER}])(?=[{_STOP}])")
 
 
 def rank_file(name: str = RANKS, folder: str | None = None) -> str:
@@ -36,12 +40,16 @@ def rank_file(name: str = RANKS, folder: str | None = None) -> str:
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """The tokenizer of a rank file, without special tokens; built once per worker."""
+    """The tokenizer of a rank file, without special tokens; built once per worker.
+
+    Texts are split into words by the pattern that the encoder library publishes for this vocabulary.
+    """
     import tiktoken
+    from tiktoken_ext.openai_public import r50k_pat_str
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(os.path.basename(path), pat_str=r50k_pat_str, mergeable_ranks=ranks, special_tokens={})
 
 
 def parts_of(text: str, size: int = PART) -> Iterator[str]:
