@@ -1,8 +1,9 @@
 """Repetition inside a single document, and other ratios, by a table of thresholds.
 
 A threshold table is a list of rules ``(measure, comparison, value)``.  :func:`compile_rules` turns it into one Spark
-projection without user functions: what several measures need (words, lines, symbols) is bound once per row and every
-measure of the table is worked out from it.  Nothing is shuffled; a text is judged by itself.
+projection without user functions: the words of a row, which every measure needs, are bound once, and its lines once where
+the table asks for them.  Nothing is shuffled; a text is judged by itself.  Stop words, which differ from corpus to corpus,
+are a parameter: :func:`corpus_stop_words` takes the most frequent words of a corpus, of whatever language.
 
 Words are the longest runs of characters other than space, tab, CR and LF.
 """
@@ -15,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Frequent English words; a text of sentences has some of them. Fixed values of this operator.
-STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
+#: A word of the corpus that makes up at least 1/STOP_SHARE of all words is a stop word, if it has a letter.
+STOP_SHARE = 500
 #: Consecutive words that make a repeated run.
 RUN = 6
 
@@ -28,10 +29,20 @@ class Rule:
     value: float
 
 
-#: A document of at least 50 words of which at least 6/10 are repeated. The first two rules cost little and follow from
-#: the third, as an n-th occurrence of a word is no first one: a repeated word is never new to its text.
-REPEATED = (Rule("n_words", ">=", 50), Rule("new_word_share", "<=", 0.4), Rule("repeated_share", ">=", 0.6))
-#: Length, symbol, stop-word and line ratios of texts worth a look.
+#: A document of at least 50 words of which at least 6/10 are repeated. The second rule costs little and follows from the
+#: third, as an n-th occurrence of a word is no first one: a repeated word is never new to its text. The last five hold for
+#: any text that gets so far: they keep the other ratios in the table, open, and are tried on no other rows.
+REPEATED = (
+    Rule("n_words", ">=", 50),
+    Rule("new_word_share", "<=", 0.4),
+    Rule("repeated_share", ">=", 0.6),
+    Rule("n_chars", ">=", 50),
+    Rule("mean_word_length", ">=", 1),
+    Rule("symbol_ratio", ">=", 0),
+    Rule("stop_word_share", "<=", 1),
+    Rule("repeated_line_share", "<=", 1),
+)
+#: Length, symbol, stop-word and line ratios of texts worth a look. Limits as published for filters of web text.
 QUALITY = (
     Rule("n_words", ">=", 50),
     Rule("n_words", "<=", 100_000),
@@ -91,47 +102,73 @@ def repeated_words(words: Column, run: int = RUN) -> Column:
     return F.when(n <= run, F.lit(0)).otherwise(let(hashes, lambda h: let(F.sort_array(grams(h)), lambda s: let(repeats(s), covered))))
 
 
-def _measures(text: Column, w: Column) -> dict[str, Column]:
-    n = F.size(w)
-    chars = F.aggregate(w, F.lit(0), lambda acc, x: acc + F.length(x))
+def _measures(text: Column, w: Column, x: Column, stop: tuple[str, ...]) -> dict[str, Column]:
+    """Every measure, of a text, its words and its lines."""
+    n, lines = F.size(w), F.size(x)
     t = F.coalesce(text, F.lit(""))
-    lines = lambda f: let(lines_of(text), f)
+    words = F.array(*map(F.lit, stop)).cast("array<string>")
+    of_lines = lambda f: share(F.size(F.filter(x, f)), lines)
     return {
         "n_chars": F.length(t),
         "n_words": n,
-        "mean_word_length": share(chars, n),
+        "mean_word_length": share(F.aggregate(w, F.lit(0), lambda acc, y: acc + F.length(y)), n),
         "symbol_ratio": share(F.length(t) - F.length(F.translate(t, "#…", "")), n),
-        "stop_words": F.size(F.array_intersect(F.transform(w, F.lower), F.array(*map(F.lit, STOP_WORDS)))),
+        "stop_words": F.size(F.array_intersect(F.transform(w, F.lower), words)),
+        "stop_word_share": share(F.size(F.filter(w, lambda y: F.array_contains(words, F.lower(y)))), n),
         "new_word_share": share(F.size(F.array_distinct(w)), n),
         "repeated_share": share(repeated_words(w), n),
-        "n_lines": lines(F.size),
-        "repeated_line_share": lines(lambda x: share(F.size(x) - F.size(F.array_distinct(x)), F.size(x))),
-        "bullet_line_share": lines(lambda x: share(F.size(F.filter(x, lambda y: y.rlike(r"^[-*•]"))), F.size(x))),
-        "ellipsis_line_share": lines(lambda x: share(F.size(F.filter(x, lambda y: y.rlike(r"(\.\.\.|…)$"))), F.size(x))),
+        "n_lines": lines,
+        "repeated_line_share": share(lines - F.size(F.array_distinct(x)), lines),
+        "bullet_line_share": of_lines(lambda y: y.rlike(r"^[-*•]")),
+        "ellipsis_line_share": of_lines(lambda y: y.rlike(r"(\.\.\.|…)$")),
     }
 
 
-def measures(docs: DataFrame, names: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+def _of_lines(measure: str) -> bool:
+    return "line" in measure
+
+
+def measures(docs: DataFrame, names: list[str], key: str = "doc_id", text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
     """``key`` and the named measures of every document; of a null, empty or blank text all are 0."""
-    body = lambda w: F.struct(*[_measures(F.col(text), w)[m].alias(m) for m in names])
-    return docs.select(key, let(words_of(F.col(text)), body).alias("__m")).select(key, *[F.col(f"__m.{m}").alias(m) for m in names])
+    t = F.col(text)
+    body = lambda w, x: F.struct(*[_measures(t, w, x, stop)[m].alias(m) for m in names])
+    both = lambda w: let(lines_of(t), lambda x: body(w, x)) if any(map(_of_lines, names)) else body(w, w)
+    return docs.select(key, let(words_of(t), both).alias("__m")).select(key, *[F.col(f"__m.{m}").alias(m) for m in names])
 
 
-def compile_rules(rules: tuple[Rule, ...], text: Column) -> Column:
+def compile_rules(rules: tuple[Rule, ...], text: Column, stop: tuple[str, ...] = ()) -> Column:
     """One boolean column: whether a text meets all rules.  They are tried in the table's order, and the first that fails
-    spares the row the rest."""
+    spares the row the rest; the lines are made when the first rule on lines is reached."""
+
+    def verdict(w: Column, x: Column | None, rest: tuple[Rule, ...]) -> Column:
+        if not rest:
+            return F.lit(True)
+        r = rest[0]
+        if x is None and _of_lines(r.measure):
+            return let(lines_of(text), lambda y: verdict(w, y, rest))
+        m = _measures(text, w, w if x is None else x, stop)[r.measure]
+        met = {">=": m >= r.value, "<=": m <= r.value, ">": m > r.value, "<": m < r.value}[r.comparison]
+        return F.when(met, verdict(w, x, rest[1:])).otherwise(False)
+
+    return let(words_of(text), lambda w: verdict(w, None, rules))
 
-    def verdict(w: Column) -> Column:
-        out = F.lit(True)
-        for r in reversed(rules):
-            m = _measures(text, w)[r.measure]
-            met = {">=": m >= r.value, "<=": m <= r.value, ">": m > r.value, "<": m < r.value}[r.comparison]
-            out = F.when(met, out).otherwise(False)
-        return out
 
-    return let(words_of(text), verdict)
+def corpus_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word``: every word of every text, in lower case."""
+    return docs.select(F.explode(words_of(F.col(text))).alias("word")).select(F.lower("word").alias("word"))
+
+
+def corpus_stop_words(docs: DataFrame, text: str = "text", share_of: int = STOP_SHARE) -> tuple[str, ...]:
+    """The words with a letter that make up at least 1/share_of of all words of a corpus, in order.
+
+    They come from the majority-vote sketch and an exact count, so memory is bounded; there are at most share_of of them.
+    """
+    from terrafold.llm import heavy_hitters
+
+    found = heavy_hitters.frequent(corpus_words(docs, text), ["word"], share_of)
+    return tuple(sorted(r["word"] for r in found.where(F.col("word").rlike(r"\p{L}")).select("word").collect()))
 
 
-def matching(docs: DataFrame, rules: tuple[Rule, ...] = REPEATED, key: str = "doc_id", text: str = "text") -> DataFrame:
+def matching(docs: DataFrame, rules: tuple[Rule, ...] = REPEATED, key: str = "doc_id", text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
     """The keys of documents that meet all rules."""
-    return docs.select(key, compile_rules(rules, F.col(text)).alias("__met")).where("__met").select(key)
+    return docs.select(key, compile_rules(rules, F.col(text), stop).alias("__met")).where("__met").select(key)

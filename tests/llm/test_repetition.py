@@ -51,15 +51,29 @@ def test_against_plain_python(spark):
 def test_other_ratios(spark):
     t = "The cat and THE dog\n- item one ...\n- item one ...\n\n• two # of …\n"
     df = spark.createDataFrame([(1, t), (2, None)], "doc_id bigint, text string")
-    names = ["n_chars", "mean_word_length", "symbol_ratio", "stop_words", "n_lines", "repeated_line_share", "bullet_line_share", "ellipsis_line_share"]
-    got = {r["doc_id"]: r.asDict() for r in rp.measures(df, names).collect()}
+    names = ["n_chars", "mean_word_length", "symbol_ratio", "stop_words", "stop_word_share", "n_lines", "repeated_line_share", "bullet_line_share", "ellipsis_line_share"]
+    got = {r["doc_id"]: r.asDict() for r in rp.measures(df, names, stop=("and", "the", "of")).collect()}
     w, lines = words(t), ["The cat and THE dog", "- item one ...", "- item one ...", "• two # of …"]
-    assert got[1] == {"doc_id": 1, "n_chars": len(t), "mean_word_length": sum(map(len, w)) / len(w), "symbol_ratio": 2 / len(w), "stop_words": 3, "n_lines": 4, "repeated_line_share": 0.25, "bullet_line_share": 0.75, "ellipsis_line_share": 0.75} and len(lines) == 4
+    assert got[1] == {"doc_id": 1, "n_chars": len(t), "mean_word_length": sum(map(len, w)) / len(w), "symbol_ratio": 2 / len(w), "stop_words": 3, "stop_word_share": 4 / len(w), "n_lines": 4, "repeated_line_share": 0.25, "bullet_line_share": 0.75, "ellipsis_line_share": 0.75} and len(lines) == 4
     assert all(v == 0 for k, v in got[2].items() if k != "doc_id")
 
 
+def test_stop_words_are_those_of_the_corpus(spark):
+    df = spark.createDataFrame([(1, "Das das und x1 - - - -"), (2, "UND und 7 7 7"), (3, None)] + [(i, f"w{i} v{i}") for i in range(4, 40)], "doc_id bigint, text string")
+    assert rp.corpus_stop_words(df, share_of=50) == ("das", "und")
+    assert rp.corpus_stop_words(df.limit(0)) == ()
+
+
+def test_open_rules_change_no_row(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id bigint, text string")
+    rest = rp.REPEATED[3:]
+    assert {r.measure for r in rest} >= {"n_chars", "symbol_ratio", "stop_word_share", "repeated_line_share"}
+    n = df.where(rp.compile_rules(rp.REPEATED[:1], F.col("text"))).count()
+    assert df.where(rp.compile_rules(rp.REPEATED[:1] + rest, F.col("text"))).count() == n
+
+
 def test_no_user_functions_and_no_shuffle(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
-    plan = rp.matching(df, rp.QUALITY)._jdf.queryExecution().executedPlan().toString()
+    plan = rp.matching(df, rp.QUALITY, stop=("a",))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert rp.matching(df.withColumn("text", F.lit("x"))).count() == 0
