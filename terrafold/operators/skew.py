@@ -1,9 +1,14 @@
 """Per-key results when a few keys hold most records.
 
 A plain aggregation ends in one reducer per key, which receives one partial state from every map task - for a key that
-holds a third of 100 TB that reducer is the whole job.  Here states climb a tree: chunks of a fixed number of rows are
-combined where they lie, and each round merges at most ``fan_in`` chunks of a key, so that no task ever receives more than
-``fan_in`` states of one key, whatever the key's share.
+holds a third of 100 TB that reducer is the whole job.  Here states climb a tree: rows are dealt to chunks of about a fixed
+number of rows, each chunk is combined into one state a key, and each round merges at most ``fan_in`` chunks of a key, so
+that no task ever receives more than ``fan_in`` states of one key, whatever the key's share.
+
+Only keys with more states than that climb.  All others, nearly all keys where few hold most rows, are merged at once.
+
+A row's chunk follows from its own columns, not from its place, so a task that runs again after an executor was lost deals
+its rows as before.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 from terrafold.scratch import Scratch
 
 #: Rows that are combined locally into one state per key.
-CHUNK_ROWS = 250_000
+CHUNK_ROWS = 4096
 #: States of a key that one task merges in a round.
 FAN_IN = 32
 
@@ -34,22 +39,34 @@ def rounds_for(rows: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) ->
     return rounds
 
 
-def tree_aggregate(df: DataFrame, keys: list[str], states: dict[str, tuple[Column, Merge]], rows: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: list[str], states: dict[str, tuple[Column, Merge]], rows: int, deal: list[str], chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per key with the merged states.
 
     states: name -> (state of one chunk as an aggregate over its rows, merge of several states), e.g.
-    ``{"n": (F.count("id"), SUM)}``; both must be independent of order.  rows: about how many rows df has; it sets only
-    the height of the tree.  A null key is a key like any other; an empty table gives no rows.
+    ``{"n": (F.count("id"), SUM)}``; both must be independent of order.  rows: about how many rows df has; it sets the
+    number of chunks and with it the height of the tree.  deal: the columns that tell the rows of a key apart and deal them
+    to chunks; rows that agree in them share a chunk.  A null key is a key like any other; an empty table gives no rows.
     """
     rounds = rounds_for(rows, chunk_rows, fan_in)
-    place = F.monotonically_increasing_id()  # partition in the upper bits, row within it in the lower 33
-    chunk = F.xxhash64(F.shiftright(place, 33), F.expr(f"(monotonically_increasing_id() & 8589934591) div {chunk_rows}"))
-    level = df.withColumn("__leaf", F.pmod(chunk, F.lit(fan_in**rounds)))
+    chunks = max(1, -(-rows // chunk_rows))
+    level = df.withColumn("__leaf", F.pmod(F.xxhash64(*deal), F.lit(chunks)))
     level = level.groupBy(*keys, "__leaf").agg(*[first.alias(name) for name, (first, _) in states.items()])
+    merged = [merge(name).alias(name) for name, (_, merge) in states.items()]
+    if rounds == 1:
+        return level.groupBy(*keys).agg(*merged)
+    leaves, _ = Scratch(df.sparkSession).save(level)
+    # a wide key has over fan_in of the leaves, so there are at most chunks * (distinct keys of a chunk) / fan_in of them
+    wide, n = Scratch(df.sparkSession).save(leaves.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") > fan_in).select(*[F.col(k).alias(f"__w_{k}") for k in keys]))
+    if not n["n"]:
+        return leaves.groupBy(*keys).agg(*merged)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__w_{k}"))
+    level = leaves.join(wide, same, "left_semi")
     for r in range(1, rounds + 1):
         up = [] if r == rounds else [F.expr(f"__leaf div {fan_in}").alias("__leaf")]
-        level = level.groupBy(*keys, *up).agg(*[merge(name).alias(name) for name, (_, merge) in states.items()])
-    return level
+        level = level.groupBy(*keys, *up).agg(*merged)
+    return leaves.join(wide, same, "left_anti").groupBy(*keys).agg(*merged).unionByName(level)
 
 
 def distinct_pairs(df: DataFrame, key: str, member: str) -> DataFrame:
@@ -60,7 +77,7 @@ def distinct_pairs(df: DataFrame, key: str, member: str) -> DataFrame:
 def key_sizes(df: DataFrame, key: str, member: str, rows: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """``key, n, low, high``: distinct members of each key, the least and the greatest of them."""
     states = {"n": (F.count(F.lit(1)), SUM), "low": (F.min(member), MIN), "high": (F.max(member), MAX)}
-    return tree_aggregate(distinct_pairs(df, key, member), [key], states, rows, chunk_rows, fan_in)
+    return tree_aggregate(distinct_pairs(df, key, member), [key], states, rows, [member], chunk_rows, fan_in)
 
 
 def heavy_keys(sizes: DataFrame, key: str, share: int) -> DataFrame:
