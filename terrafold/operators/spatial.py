@@ -25,6 +25,8 @@ from terrafold.ship import ship
 EARTH_M = 6_371_000.0
 MIN_LEVEL, MAX_LEVEL, MAX_CELLS = 3, 16, 400
 WORLD_LON, WORLD_LAT = 3_600_000_000, 1_800_000_000
+#: Coarse cells of this level tell which levels occur below them; there are 16,384 of them at most.
+COARSE = 7
 #: Points of one cube that one task compares with the cube's other points.
 CUBE_BLOCK = 4_000
 
@@ -126,11 +128,29 @@ def within(shape: Column, lat: Column, lon: Column) -> Column:
     return rect | cap | F.exists(shape["polys"], odd)
 
 
+def levels_at(cells: DataFrame) -> DataFrame:
+    """``coarse, levels``: for each coarse cell the levels of the cells above, at or below it; at most 4**COARSE rows."""
+    level, x, y = F.shiftright("cell", 58).cast("int"), F.shiftright("cell", 29).bitwiseAND((1 << 29) - 1), F.col("cell").bitwiseAND((1 << 29) - 1)
+    at = cells.select("cell").distinct().select(level.alias("level"), x.alias("x"), y.alias("y"))
+    up = F.expr(f"greatest(level - {COARSE}, 0)")
+    wide = F.expr(f"shiftleft(1L, greatest({COARSE} - level, 0))")
+    run = lambda c: F.sequence(F.expr(f"shiftright({c}, greatest(level - {COARSE}, 0))") * wide, F.expr(f"shiftright({c}, greatest(level - {COARSE}, 0))") * wide + wide - 1)
+    spread = at.withColumn("up", up).select("level", F.explode(run("x")).alias("cx"), "y").withColumn("cy", F.explode(run("y")))
+    key = F.shiftleft(F.lit(COARSE).cast("long"), 58).bitwiseOR(F.shiftleft("cx", 29)).bitwiseOR(F.col("cy"))
+    return spread.select(key.alias("coarse"), "level").groupBy("coarse").agg(F.collect_set("level").alias("levels"))
+
+
 def inside(points: DataFrame, regions: DataFrame, max_cells: int = MAX_CELLS, max_level: int = MAX_LEVEL) -> DataFrame:
     """``region_id, id`` of the points ``id, lon_i, lat_i`` in each region.  Points with null or impossible coordinates
-    are nowhere.  A region takes part in one match per point, as its cells are disjoint."""
+    are nowhere.  A region takes part in one match per point, as its cells are disjoint.
+
+    A point first meets its coarse cell, in a broadcast table of at most 4**COARSE rows, and goes on only with the cells
+    of the levels that occur there; points far from all regions end here.
+    """
     cells, _ = Scratch(points.sparkSession).save(coverage(regions, max_cells, max_level))
-    keyed = points.where(on_earth()).select("id", "lon_i", "lat_i", F.explode(F.array(*[cell_key(level) for level in range(MIN_LEVEL, max_level + 1)])).alias("cell"))
+    near_cells = points.where(on_earth()).select("id", "lon_i", "lat_i", cell_key(COARSE).alias("coarse")).join(F.broadcast(levels_at(cells)), "coarse")
+    by_level = F.array(*[cell_key(level) for level in range(max_level + 1)])
+    keyed = near_cells.select("id", "lon_i", "lat_i", F.explode(F.transform("levels", lambda k: F.get(by_level, k))).alias("cell"))
     met = keyed.join(cells, "cell")
     exact = within(F.col("shape"), F.col("lat_i") / 1e7, F.col("lon_i") / 1e7)
     return met.where(F.when(F.col("interior"), True).otherwise(exact)).select("region_id", "id")
