@@ -1,9 +1,9 @@
 """Applying inserts, updates and deletes that arrive late, repeatedly and out of order.
 
 Newest first: the changes are cut into bands of their version, which the version order makes independent of the order of
-arrival.  The newest band is resolved first; from each older band only keys that no newer band has named remain.  Each key
-thus gets exactly one image or tombstone, the first that is seen going backwards, and at the end the base rows that no
-change replaces are appended.
+arrival.  The newest band is resolved first and its keys are written down; from each older band only keys that are not yet
+resolved remain, and join them.  Each key thus gets exactly one image or tombstone, the first that is seen going backwards,
+and at the end the base rows that no change replaces are appended.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.scratch import Scratch
 from terrafold.tables import ELEMENTS, current
 
-#: Bands of about equal size into which the changes are cut.
-BANDS = 3
+#: Changes that make a band, and the most bands that are made; beyond it they are larger, each a job over all executors.
+BAND_ROWS, MAX_BANDS = 10_000, 4
 KEY = ["type", "id"]
 #: The version of tagged nodes without a position, which any change replaces, even one without a version.
 NOWHERE = -2
@@ -25,13 +26,18 @@ def deletes(action: Column) -> Column:
     return F.coalesce(F.lower(F.trim(action)) == "delete", F.lit(False))
 
 
-def band_cuts(changes: DataFrame, bands: int = BANDS) -> list[int]:
-    """Descending versions at which the bands begin; the last band has all that is left.  Any cuts give the same result."""
-    if bands < 2:
-        return []
-    shares = [1 - i / bands for i in range(1, bands)]
-    found = changes.select(F.percentile_approx("version", shares, 1000).alias("p")).first()["p"] or []
-    return sorted(set(found), reverse=True)
+def bands_for(rows: int) -> int:
+    return max(1, min(MAX_BANDS, -(-rows // BAND_ROWS)))
+
+
+def band_cuts(changes: DataFrame, bands: int | None = None) -> list[int]:
+    """Descending versions at which the bands begin; the last band has all that is left.  Any cuts give the same result.
+    bands: how many, by default as the number of changes asks for."""
+    shares = [i / 100 for i in range(1, 100)]
+    got = changes.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("version", shares, 1000).alias("p")).first()
+    bands = bands or bands_for(got["n"])
+    at = [got["p"][min(98, max(0, round(100 * i / bands) - 1))] for i in range(1, bands)] if got["p"] else []
+    return sorted(set(at), reverse=True)
 
 
 def newest_first(changes: DataFrame, payload: list[str], cuts: list[int]) -> DataFrame:
@@ -44,20 +50,22 @@ def newest_first(changes: DataFrame, payload: list[str], cuts: list[int]) -> Dat
     rank = [F.coalesce("version", F.lit(-1)).cast("long").alias("version"), F.col("meta.timestamp").alias("at"), deletes(F.col("action")).alias("deleted")]
     rows = changes.where("type is not null and id is not null").select(*KEY, *rank, *[F.col(c).alias(f"p_{c}") for c in payload])
     state = F.struct("version", "at", "deleted", *[f"p_{c}" for c in payload])
-    edges = [None, *cuts, None]
+    flat = [*KEY, "s.version", "s.deleted", *[F.col(f"s.p_{c}").alias(c) for c in payload]]
+    if not cuts:
+        return rows.groupBy(*KEY).agg(F.max(state).alias("s")).select(*flat)
+    scratch = Scratch(changes.sparkSession)
+    older = F.lit(0)
+    for c in cuts:
+        older = older + (F.col("version") < c).cast("int")
+    banded, _ = scratch.save(rows.withColumn("band", older), by="band")
     done = None
-    for top, low in zip(edges, edges[1:]):
-        band = rows
-        if low is not None:
-            band = band.where(F.col("version") >= low)
-        if top is not None:
-            band = band.where(F.col("version") < top)
-        first = band.groupBy(*KEY).agg(F.max(state).alias("s"))
-        if top is not None:  # keys that a newer band has resolved, as images or as tombstones
-            newer = rows.where(F.col("version") >= top).select(*KEY).distinct()
-            first = first.join(newer, KEY, "left_anti")
-        done = first if done is None else done.unionByName(first)
-    return done.select(*KEY, "s.version", "s.deleted", *[F.col(f"s.p_{c}").alias(c) for c in payload])
+    for k in range(len(cuts) + 1):
+        first = banded.where(F.col("band") == k).groupBy(*KEY).agg(F.max(state).alias("s"))
+        if done is not None:  # keys that newer bands have resolved, as images or as tombstones
+            first = first.join(done.select(*KEY), KEY, "left_anti")
+        found, _ = scratch.save(first.select(*flat))
+        done = found if done is None else done.unionByName(found)
+    return done
 
 
 def base_versions(bases: dict[str, DataFrame]) -> DataFrame:
@@ -69,23 +77,7 @@ def base_versions(bases: dict[str, DataFrame]) -> DataFrame:
     return rows.where("id is not null").groupBy(*KEY).agg(F.coalesce(F.max("version"), F.lit(-1)).cast("long").alias("base"))
 
 
-def verdicts(resolved: DataFrame, base: DataFrame) -> DataFrame:
-    """``type, id, version, alive, has_base, replaced`` of each element that the changes name, after all of them.
-
-    A change replaces the base row only if its version is higher; version is that of what counts.
-    """
-    j = resolved.join(base, KEY, "left")
-    wins = F.col("base").isNull() | (F.col("version") > F.col("base"))
-    return j.select(
-        *KEY,
-        F.when(wins, F.col("version")).otherwise(F.col("base")).alias("version"),
-        F.when(wins, ~F.col("deleted")).otherwise(F.lit(True)).alias("alive"),
-        F.col("base").isNotNull().alias("has_base"),
-        wins.alias("replaced"),
-    )
-
-
-def apply_changes(base: DataFrame, changes: DataFrame, kind: str, payload: list[str], version: str = "version", bands: int = BANDS) -> DataFrame:
+def apply_changes(base: DataFrame, changes: DataFrame, kind: str, payload: list[str], version: str = "version", bands: int | None = None) -> DataFrame:
     """The state of one base table after all changes: ``id, version``, the payload, and ``source`` (change or base).
 
     base: ``id``, the payload and its version, repeated and older rows included; changes: the whole feed.
@@ -100,7 +92,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, kind: str, payload: list[
     return alive.unionByName(kept)
 
 
-def node_states(locations: DataFrame, nodes: DataFrame, changes: DataFrame, bands: int = BANDS) -> DataFrame:
+def node_states(locations: DataFrame, nodes: DataFrame, changes: DataFrame, bands: int | None = None) -> DataFrame:
     """``id, version, lon_i, lat_i, tags, meta, source``: the state of all nodes, tagged or not, after all changes.
 
     The base row of a node is its current position beside its current tags.  Whether a change replaces it, tags and all, is
@@ -114,7 +106,17 @@ def node_states(locations: DataFrame, nodes: DataFrame, changes: DataFrame, band
     return s.select("id", version.alias("version"), "lon_i", "lat_i", "tags", "meta", "source")
 
 
-def feed_verdicts(changes: DataFrame, locations: DataFrame, ways: DataFrame, relations: DataFrame, bands: int = BANDS) -> DataFrame:
-    """:func:`verdicts` of a feed over the three base tables as stored."""
+def named_state(changes: DataFrame, locations: DataFrame, ways: DataFrame, relations: DataFrame, bands: int | None = None) -> DataFrame:
+    """``type, id, version, source`` of the elements that a feed names and that exist after it, over the three base tables as
+    stored: images of the feed, and of base rows that it names those that it doesn't replace.
+
+    A change replaces the base row only if its version is higher.
+    """
+    scratch = Scratch(changes.sparkSession)
     bases = dict(zip(ELEMENTS, (locations.select("id", "version"), ways.select("id", "meta.version"), relations.select("id", "meta.version"))))
-    return verdicts(newest_first(changes, [], band_cuts(changes, bands)), base_versions(bases))
+    resolved, _ = scratch.save(newest_first(changes, [], band_cuts(changes, bands)))
+    base = base_versions(bases).join(resolved.select(*KEY), KEY, "left_semi")
+    base, _ = scratch.save(base)
+    images, _ = scratch.save(resolved.join(base, KEY, "left").where("base is null or version > base").select(*KEY, "version", "deleted"))
+    kept = base.join(images.select(*KEY), KEY, "left_anti").select(*KEY, F.col("base").alias("version"), F.lit("base").alias("source"))
+    return images.where("not deleted").select(*KEY, "version", F.lit("change").alias("source")).unionByName(kept)

@@ -1,8 +1,12 @@
 """References to records that do not exist.
 
-Parent and child keys are brought into one long table and grouped by the table and key they point at.  A group that lacks
-a parent flag is an orphan key; flags and counts are fixed-size states, so a key that a third of all rows refer to costs
-one partial state per map task.  Only the orphan keys are then joined back to their rows, salted for the same reason.
+Parent keys, the elements that a feed names, and child keys are brought into one long table and grouped by the table and key
+they point at; groups that lack a parent are orphan keys.  All states of the grouping are numbers of fixed size, so a key
+that a third of all rows refer to costs one partial state per map task.
+
+The report stays in the long form: child rows carry their month, counts are summed by key and month, and a key's months, of
+which there are as many as the data span, are handed on if it proves an orphan.  Only the list of single references joins
+orphan keys back to their rows.
 """
 
 from __future__ import annotations
@@ -10,9 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts into which the referring rows of one orphan key are split in the join that follows.
-SALT = 16
+from terrafold.operators.changefeed import newest_first
+from terrafold.scratch import Scratch
+
 REF = ["ref_type", "ref_id"]
+#: Orphan keys up to this number are broadcast to the references; their number is counted before.
+BROADCAST_KEYS = 200_000
+#: Of more keys, those with more references than this are broadcast, at most one for so many references there are.
+HOT_REFS = 1_000_000
 
 
 def references(ways: DataFrame, relations: DataFrame) -> DataFrame:
@@ -33,36 +42,56 @@ def reason(has_base: Column, alive: Column) -> Column:
     return F.when(~has_base & ~alive, "missing").when(~has_base, "late").when(~alive, "deleted")
 
 
-def _long(refs: DataFrame, base_keys: DataFrame, verdicts: DataFrame, extra: list[str]) -> DataFrame:
-    none = {c: F.lit(None).cast(dict(refs.dtypes)[c]).alias(c) for c in extra}
-    flag = lambda base, alive, dead, child: [F.lit(x).alias(n) for n, x in (("base", base), ("alive", alive), ("dead", dead), ("child", child))]
-    kids = refs.select(*REF, *flag(0, 0, 0, 1), *extra)
-    base = base_keys.select(F.col("type").alias("ref_type"), F.col("id").alias("ref_id"), *flag(1, 0, 0, 0), *none.values())
-    after = verdicts.select(F.col("type").alias("ref_type"), F.col("id").alias("ref_id"), F.lit(0).alias("base"), F.col("alive").cast("int").alias("alive"), (~F.col("alive")).cast("int").alias("dead"), F.lit(0).alias("child"), *none.values())
+def _states(base: Column, cv: Column, gone: Column) -> Column:
+    """The reason of a key with the highest base version, if any, and the version and kind of the change that counts."""
+    wins = cv.isNotNull() & (base.isNull() | (cv > base))
+    alive = F.when(wins, gone == 0).otherwise(base.isNotNull())
+    return reason(base.isNotNull(), alive)
+
+
+def _long(refs: DataFrame, base_keys: DataFrame, changes: DataFrame, by: list[Column]) -> DataFrame:
+    """``ref_type, ref_id, base, cv, gone, child`` and the columns ``by`` of child rows, null on all others."""
+    none = lambda n, t: F.lit(None).cast(t).alias(n)
+    names = refs.select(*by).dtypes
+    blank = [none(c, t) for c, t in names]
+    kids = refs.select(*REF, none("base", "long"), none("cv", "long"), none("gone", "int"), F.lit(1).cast("long").alias("child"), *by)
+    base = base_keys.where("id is not null").select(F.col("type").alias("ref_type"), F.col("id").alias("ref_id"), F.coalesce("version", F.lit(-1)).cast("long").alias("base"), none("cv", "long"), none("gone", "int"), F.lit(0).cast("long").alias("child"), *blank)
+    last = newest_first(changes, [], [])  # already one row a key, so that the grouping has numbers only
+    after = last.select(F.col("type").alias("ref_type"), F.col("id").alias("ref_id"), none("base", "long"), F.col("version").alias("cv"), F.col("deleted").cast("int").alias("gone"), F.lit(0).cast("long").alias("child"), *blank)
     return kids.unionByName(base).unionByName(after)
 
 
-def orphan_keys(refs: DataFrame, base_keys: DataFrame, verdicts: DataFrame) -> DataFrame:
+def orphan_keys(refs: DataFrame, base_keys: DataFrame, changes: DataFrame) -> DataFrame:
     """``ref_type, ref_id, reason, refs`` of the keys that are referred to and don't exist.
 
-    base_keys: ``type, id`` of all base rows; verdicts: ``type, id, alive`` of the elements that a feed names.
+    base_keys: ``type, id, version`` of all base rows; changes: a feed applied to them.
     """
-    long = _long(refs, base_keys, verdicts, [])
-    g = long.groupBy(*REF).agg(*[F.max(c).alias(c) for c in ("base", "alive", "dead")], F.sum("child").alias("refs")).where("refs > 0")
-    has_base = F.col("base") == 1
-    alive = (F.col("alive") == 1) | (has_base & (F.col("dead") == 0))
-    return g.select(*REF, reason(has_base, alive).alias("reason"), "refs").where("reason is not null")
+    long = _long(refs, base_keys, changes, [])
+    g = long.groupBy(*REF).agg(*[F.max(c).alias(c) for c in ("base", "cv", "gone")], F.sum("child").alias("refs")).where("refs > 0")
+    return g.select(*REF, _states(F.col("base"), F.col("cv"), F.col("gone")).alias("reason"), "refs").where("reason is not null")
+
 
+def orphan_refs(refs: DataFrame, keys: DataFrame, broadcast_keys: int = BROADCAST_KEYS, hot_refs: int = HOT_REFS) -> DataFrame:
+    """The references to orphan keys with their reason.
 
-def orphan_refs(refs: DataFrame, keys: DataFrame, salt: int = SALT) -> DataFrame:
-    """The references to orphan keys with their reason."""
-    spread = keys.select(F.col("ref_type").alias("kt"), F.col("ref_id").alias("kr"), "reason", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("ks"))
-    kids = refs.withColumn("__s", F.pmod(F.xxhash64("source_type", "source_id"), F.lit(salt)).cast("int"))
-    same = kids["ref_id"].eqNullSafe(spread["kr"]) & kids["ref_type"].eqNullSafe(spread["kt"]) & (kids["__s"] == spread["ks"])
-    return kids.join(spread, same).select(*refs.columns, "reason")
+    keys are written and counted first.  Few are broadcast.  Of many, the hot ones are broadcast and the rest joined by a
+    shuffle, in which no key then has more than hot_refs rows.
+    """
+    keys, n = Scratch(refs.sparkSession).save(keys.select(F.col("ref_type").alias("kt"), F.col("ref_id").alias("kr"), "reason", F.col("refs").alias("kn")))
+    same = F.col("ref_id").eqNullSafe(F.col("kr")) & F.col("ref_type").eqNullSafe(F.col("kt"))
+    cols = [*refs.columns, "reason"]
+    if n["n"] <= broadcast_keys:
+        return refs.join(F.broadcast(keys), same).select(*cols)
+    hot = refs.join(F.broadcast(keys.where(F.col("kn") > hot_refs)), same)
+    return hot.select(*cols).unionByName(refs.join(keys.where(F.col("kn") <= hot_refs), same).select(*cols))
 
 
-def orphan_report(orphans: DataFrame) -> DataFrame:
+def orphan_report(refs: DataFrame, base_keys: DataFrame, changes: DataFrame) -> DataFrame:
     """``ref_type, reason, period, refs``: orphan references by referred table, reason and month of the referring row."""
     period = F.date_format(F.timestamp_seconds("at"), "yyyy-MM").alias("period")
-    return orphans.groupBy("ref_type", "reason", period).agg(F.count(F.lit(1)).alias("refs"))
+    long = _long(refs, base_keys, changes, [period])
+    months = long.groupBy(*REF, "period").agg(*[F.max(c).alias(c) for c in ("base", "cv", "gone")], F.sum("child").alias("child"))
+    part = F.when(F.col("child") > 0, F.struct("period", F.col("child").alias("n")))
+    g = months.groupBy(*REF).agg(*[F.max(c).alias(c) for c in ("base", "cv", "gone")], F.collect_list(part).alias("parts"))
+    named = g.select("ref_type", _states(F.col("base"), F.col("cv"), F.col("gone")).alias("reason"), F.explode("parts").alias("p")).where("reason is not null")
+    return named.groupBy("ref_type", "reason", F.col("p.period").alias("period")).agg(F.sum("p.n").alias("refs"))

@@ -56,12 +56,8 @@ def p2_cells(spark: SparkSession, d: str) -> DataFrame:
     return _cell_sizes(spark, d).select("cell", F.col("n").alias("n_nodes"), F.col("low").alias("first_node"), F.col("high").alias("last_node"))
 
 
-def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return changefeed.feed_verdicts(*[T.read(spark, d, t) for t in ("changes", "locations", "ways", "relations")])
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _verdicts(spark, d).where("alive").select("type", "id", "version")
+    return changefeed.named_state(*[T.read(spark, d, t) for t in ("changes", "locations", "ways", "relations")]).select("type", "id", "version")
 
 
 def p3_ways(spark: SparkSession, d: str) -> DataFrame:
@@ -113,20 +109,27 @@ def p5_areas(spark: SparkSession, d: str) -> DataFrame:
     return jobs.select("extract_id", "kind", "cells_total").join(n, "extract_id", "left").select("extract_id", "kind", "cells_total", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"))
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    locations, ways, relations = (T.read(spark, d, t) for t in ("locations", "ways", "relations"))
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The references of current rows, written once, the keys and versions of base rows, and the feed."""
+    from terrafold.scratch import Scratch
+
+    locations, ways, relations, changes = (T.read(spark, d, t) for t in ("locations", "ways", "relations", "changes"))
     stamp = F.struct(F.col("meta.version").alias("version"), F.col("meta.timestamp").alias("timestamp")).alias("meta")
     refs = orphans.references(T.current(ways.select("id", "nodes", stamp), "meta.version"), T.current(relations.select("id", "members", stamp), "meta.version"))
-    keys = locations.select(F.lit("node").alias("type"), "id").unionByName(ways.select(F.lit("way").alias("type"), "id")).unionByName(relations.select(F.lit("relation").alias("type"), "id"))
-    return orphans.orphan_refs(refs, orphans.orphan_keys(refs, keys, _verdicts(spark, d)))
+    refs, _ = Scratch(spark).save(refs)
+    keys = locations.select(F.lit("node").alias("type"), "id", "version")
+    for kind, t in (("way", ways), ("relation", relations)):
+        keys = keys.unionByName(t.select(F.lit(kind).alias("type"), "id", "meta.version"))
+    return refs, keys, changes
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("source_type", "source_id", "ref_type", "ref_id", "reason")
+    refs, keys, changes = _references(spark, d)
+    return orphans.orphan_refs(refs, orphans.orphan_keys(refs, keys, changes)).select("source_type", "source_id", "ref_type", "ref_id", "reason")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_report(_orphans(spark, d))
+    return orphans.orphan_report(*_references(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -98,13 +98,16 @@ def test_random_feeds_do_not_depend_on_order_or_bands(spark):
 def test_orphans(spark):
     ways = spark.createDataFrame([(1, [1, 2, 2, None, 7], None, meta(1, 0)), (2, None, [], meta(1, None)), (3, [], [], None)], f"id bigint, nodes array<bigint>, tags {TAGS}, meta {META}")
     rels = spark.createDataFrame([(5, [(1, "way", ""), (1, "way", "again"), (8, "way", None), (1, None, ""), (4, "area", ""), (None, "node", "")], None, meta(1, 2678400))], f"id bigint, members {MEMBERS}, tags {TAGS}, meta {META}")
-    keys = spark.createDataFrame([("node", 1), ("node", 7), ("way", 1), ("way", 1)], "type string, id bigint")
-    after = spark.createDataFrame([("node", 2, True), ("node", 7, False), ("way", 8, False), ("way", 99, False)], "type string, id bigint, alive boolean")
+    keys = spark.createDataFrame([("node", 1, 5), ("node", 7, None), ("way", 1, 1), ("way", 1, 3), ("way", None, 1)], "type string, id bigint, version int")
+    after = feed(spark, [change(1, "create", "node", 2, 1), change(1, "delete", "node", 7, 1), change(1, "delete", "way", 8, 1), change(1, "delete", "way", 99, 1), change(1, "delete", "node", 1, 5), change(1, "delete", "way", 1, 2), change(1, "create", None, 1, 9)])
     refs = orphans.references(ways, rels)
-    found = orphans.orphan_refs(refs, orphans.orphan_keys(refs, keys, after), salt=3)
+    found = orphans.orphan_refs(refs, orphans.orphan_keys(refs, keys, after))
     got = {tuple(r) for r in found.select("source_type", "source_id", "ref_type", "ref_id", "reason").collect()}
+    for hot in (0, 1):  # too many keys to broadcast: the hot ones are, the rest is shuffled
+        again = orphans.orphan_refs(refs, orphans.orphan_keys(refs, keys, after), broadcast_keys=0, hot_refs=hot)
+        assert sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
     assert got == {("way", 1, "node", 2, "late"), ("way", 1, "node", 7, "deleted"), ("relation", 5, "way", 8, "missing"), ("relation", 5, None, 1, "missing"), ("relation", 5, "area", 4, "missing")}
-    report = {tuple(r) for r in orphans.orphan_report(found).collect()}
+    report = {tuple(r) for r in orphans.orphan_report(refs, keys, after).collect()}
     assert ("node", "late", "1970-01", 1) in report and ("way", "missing", "1970-02", 1) in report
     assert orphans.orphan_keys(refs.limit(0), keys, after).count() == 0
 
@@ -130,6 +133,11 @@ def test_history(spark):
     log = history.attribute_log(history.seen_versions(df)).where("type = 'way' and attribute = 'changeset'")
     assert {(r["value"], r["version"], r["until_version"]) for r in log.collect()} == {("11", 1, 3), ("12", 3, None)}
     assert history.history(df.limit(0)).count() == 0
+    # without the version, rows that differ in nothing else are one
+    got = {tuple(r) for r in history.history(df, ("uid", "user")).where("type = 'way'").collect()}
+    assert got == {("way", 1, 5, "a", 100, -1)}
+    got = {tuple(r) for r in history.history(df, ("changeset",)).where("type = 'way'").collect()}
+    assert got == {("way", 1, 11, 100, 100), ("way", 1, 12, 100, -1)}
 
 
 def test_tree_aggregation(spark):
@@ -140,11 +148,21 @@ def test_tree_aggregation(spark):
     for a, b in set(pairs):
         if a is not None:
             want.setdefault(a, []).append(b)
-    for rows, chunk, fan in ((6000, 100, 2), (6000, 10, 8), (1, 1000, 32)):
+    for rows, chunk, fan in ((6000, 100, 2), (6000, 10, 8), (6000, 10, 512), (1, 1000, 32)):
         got = skew.key_sizes(df, "cell", "node_id", rows, chunk, fan)
         assert {r["cell"]: (r["n"], r["low"], r["high"]) for r in got.collect()} == {k: (len(v), min(x for x in v if x is not None), max(x for x in v if x is not None)) for k, v in want.items()}
+    assert skew.rounds_for(179_879) == 2  # the index at sf0.1
     total = sum(len(v) for v in want.values())
     assert {r["cell"] for r in skew.heavy_keys(got, "cell", 100).collect()} == {k for k, v in want.items() if len(v) * 100 >= total}
     empty = skew.key_sizes(df.limit(0), "cell", "node_id", 0)
     assert empty.count() == 0 and skew.heavy_keys(empty, "cell", 100).count() == 0
     assert [skew.rounds_for(n, 10, 4) for n in (0, 40, 41, 161)] == [1, 1, 2, 3]
+
+
+def test_bands_follow_the_number_of_changes(spark):
+    rows = [change(i, "modify", "node", i, i % 90) for i in range(900)]
+    assert [changefeed.bands_for(n) for n in (0, 10_000, 10_001, 10**9)] == [1, 1, 2, changefeed.MAX_BANDS]
+    assert changefeed.band_cuts(feed(spark, rows)) == [] and len(changefeed.band_cuts(feed(spark, rows), 3)) == 2
+    state = [changefeed.named_state(feed(spark, rows), *[spark.createDataFrame([(5, meta(99))], f"id bigint, meta {META}").selectExpr("id", "meta", "meta.version as version")] * 3, bands=b) for b in (1, 4)]
+    got = [sorted(map(tuple, s.collect())) for s in state]
+    assert got[0] == got[1] and ("node", 5, 99, "base") in got[0] and len(got[0]) == 900

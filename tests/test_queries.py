@@ -91,8 +91,8 @@ def test_refs_of_the_same_column_names_do_not_clash(spark):
     from terrafold.operators import changefeed, history, orphans
 
     read = lambda t: T.read(spark, FOLDER, t).selectExpr("*", "1 as base", "2 as deleted", "3 as s", "4 as rn", "'x' as reason", "5 as alive", "6 as at")
-    v = changefeed.feed_verdicts(read("changes"), read("locations"), read("ways"), read("relations"))
-    assert v.where("alive").count() == entry.queries()["p3_found"](spark, FOLDER).count()
+    v = changefeed.named_state(read("changes"), read("locations"), read("ways"), read("relations"), bands=3)
+    assert v.count() == entry.queries()["p3_found"](spark, FOLDER).count()
     assert history.history(read("snapshots")).count() == entry.queries()["p7_found"](spark, FOLDER).count()
     refs = orphans.references(T.current(read("ways"), "meta.version"), T.current(read("relations"), "meta.version"))
     assert refs.count() > 0
