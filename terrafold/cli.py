@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("dataset")
     x = sub.add_parser("extract", help="write the elements of a region")
     x.add_argument("dataset")
-    x.add_argument("output")
+    x.add_argument("output", help="a file; binary if it ends with .pbf, else XML")
     for o in ("bbox", "disc", "geojson", "poly", "region"):
         x.add_argument(f"--{o}")
     x.add_argument("--expand", type=int)
@@ -66,7 +66,8 @@ def tag_lines(tags) -> str:
 def query(spark: SparkSession, a: argparse.Namespace) -> str:
     db = OsmDataset.open(spark, a.dataset)
     if a.what is None:
-        return "\n".join(f"{r['table_name']}: {r['n']}" for r in db.stats().collect())
+        sizes = [f"{r['table_name']}: {r['n']}" for r in db.stats().collect()]
+        return "\n".join([*sizes, f"Timestamp: {db.get_metadata(TIMESTAMP)}", f"Sequence #: {db.get_metadata(SEQNUM)}"])
     if a.what in ("timestamp", "seqnum"):
         return db.get_metadata(TIMESTAMP if a.what == "timestamp" else SEQNUM)
     if a.id is None:
@@ -74,32 +75,35 @@ def query(spark: SparkSession, a: argparse.Namespace) -> str:
     at = F.col("id") == a.id
     if a.what == "node":
         r = db.locations.where(at).join(db.nodes, "id", "left").first()
-        return "not found" if r is None else f"{r['lat_i'] / 1e7:.7f} {r['lon_i'] / 1e7:.7f}\n{tag_lines(r['tags'])}".rstrip()
+        if r is None:
+            return "not found"
+        placed = r["lat_i"] is not None and r["lon_i"] is not None
+        at = f"{r['lat_i'] / 1e7:.7f} {r['lon_i'] / 1e7:.7f}" if placed else "undefined"
+        return f"{at}\n{tag_lines(r['tags'])}".rstrip()
     r = (db.ways if a.what == "way" else db.relations).where(at).first()
     if r is None:
         return "not found"
-    body = " ".join(map(str, r["nodes"])) if a.what == "way" else "\n".join(f"{m['type']} {m['ref']} {m['role']}" for m in r["members"])
+    body = " ".join(map(str, r["nodes"] or ())) if a.what == "way" else "\n".join(f"{m['type']} {m['ref']} {m['role']}" for m in r["members"] or ())
     return f"{body}\n{tag_lines(r['tags'])}".rstrip()
 
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> None:
     from terrafold import coverer
     from terrafold.operators import extract as ex
-    from terrafold.sources import xmlsink
+    from terrafold.sources import pbfsink, xmlsink
 
     region = Region.from_options(a.bbox, a.disc, a.geojson, a.poly, a.region)
     db, progress = OsmDataset.open(spark, a.dataset), Progress(a.jsonOutput)
     cells = len(coverer.covering(region, a.expand))
     progress.start("Cells", cells)
-    e = ex.extract(db, region, grow=a.expand)
-    progress.step("Cells", cells)
+    e = ex.extract(db, region, grow=a.expand, watch=lambda: progress.watch(spark, "Cells"))
     n = {r["set_name"]: r["n"] for r in e.counts().collect()}
     progress.start("Nodes", n["n"])
     progress.start("Elems", n["w"] + n["r"])
     keep = not a.noUserData
-    xmlsink.write(xmlsink.objects_of(e.nodes(keep), e.ways(keep), e.relations(keep)), a.output, ex.header(db, region))
-    progress.step("Nodes", n["n"])
-    progress.step("Elems", n["w"] + n["r"])
+    sink = pbfsink if a.output.endswith(".pbf") else xmlsink
+    with progress.watch(spark, "Nodes", "Elems"):
+        sink.write(xmlsink.objects_of(e.nodes(keep), e.ways(keep), e.relations(keep)), a.output, ex.header(db, region))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -110,7 +114,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         with timed(a.command):
             if a.command == "expand":
-                with writer_lock(a.dataset):
+                with writer_lock(a.dataset, spark):
                     xmlfiles.expand(spark, a.osm_file, a.dataset)
             elif a.command == "extract":
                 extract(spark, a)
@@ -119,7 +123,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
                 xmlfiles.register(spark)
                 changes = spark.read.format("changes_xml").option("seq", a.seqnum).load(a.osc_file)
-                with writer_lock(a.dataset):
+                with writer_lock(a.dataset, spark):
                     apply_file(OsmDataset.open(spark, a.dataset), changes, a.dataset, a.seqnum, a.timestamp, a.commit)
             elif a.command == "query":
                 print(query(spark, a))
@@ -132,8 +136,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
                 xmlfiles.register(spark)
                 changes = spark.read.format("changes_xml").load(a.osc_file)
-                with open(a.output, "w", encoding="utf-8") as f:
-                    f.write(augdiffxml.render(OsmDataset.open(spark, a.dataset), changes))
+                augdiffxml.write(OsmDataset.open(spark, a.dataset), changes, a.output)
     except (RegionError, Busy) as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1

@@ -11,6 +11,9 @@ the region in whole cells (mode ``covering``), or point by point (mode ``exact``
 
 from __future__ import annotations
 
+import contextlib
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,21 +22,21 @@ from pyspark.sql import functions as F
 from terrafold import coverer, tags
 from terrafold.dataset import OsmDataset
 from terrafold.functions import s2
-from terrafold.operators.closure import transitive
-from terrafold.region import Region
+from terrafold.region import Rect, Region
 from terrafold.scratch import Scratch
 
 #: Up to so many ranges become one predicate that reaches the Parquet scan; more are joined by a coarse prefix.
 MAX_PREDICATES = 64
+BROADCAST_RANGES = 100_000
 _BUCKET_LEVEL = 7
 
 
 def in_ranges(df: DataFrame, ranges: list[tuple[int, int]], cell: str = "cell") -> DataFrame:
     """Rows whose cell lies in one of some sorted disjoint half-open ranges.
 
-    A covering has at most 1,024 ranges, and there are 98,304 coarse cells, so the table of ranges by coarse cell has fewer
-    than 100,000 rows by construction.  A plain range join would compare every row with every range; here rows meet ranges
-    by the equality of a coarse cell.
+    A plain range join would compare every row with every range; here rows meet ranges by the equality of a coarse cell.  The
+    table of ranges by coarse cell is counted first: up to ``BROADCAST_RANGES`` rows it is broadcast, beyond it (coverings
+    that were grown by fine cells) the join is left to Spark.
     """
     if not ranges:
         return df.where("false")
@@ -45,7 +48,7 @@ def in_ranges(df: DataFrame, ranges: list[tuple[int, int]], cell: str = "cell")
     shift = 2 * (s2.LEVEL - _BUCKET_LEVEL)
     rows = [(b, lo, hi) for lo, hi in ranges for b in range(lo >> shift, ((hi - 1) >> shift) + 1)]
     table = df.sparkSession.createDataFrame(rows, "__b bigint, __lo bigint, __hi bigint")
-    met = df.withColumn("__b", F.shiftright(F.col(cell), shift)).join(F.broadcast(table), "__b")
+    met = df.withColumn("__b", F.shiftright(F.col(cell), shift)).join(F.broadcast(table) if len(rows) <= BROADCAST_RANGES else table, "__b")
     return met.where(f"{cell} >= __lo and {cell} < __hi").select(*df.columns)
 
 
@@ -66,12 +69,35 @@ def contains(region: Region, lat: Column, lon: Column) -> Column:
 
 
 def nodes_in(db: OsmDataset, region: Region, mode: str = "covering", grow: int | None = None) -> DataFrame:
-    """N0: ``id``."""
-    if mode == "covering":
-        return in_ranges(db.cell_node, coverer.covering(region, grow)).select(F.col("node_id").alias("id")).distinct()
-    if mode != "exact":
+    """N0: ``id``.
+
+    The exact mode looks at the nodes of the covering only, by way of the cell index.  A box is tested by whole numbers,
+    which reach the scan of the locations; other regions by their formula.
+    """
+    if mode not in ("covering", "exact"):
         raise ValueError(f"unknown mode {mode!r}")
-    return db.locations.where("lon_i is not null and lat_i is not null").where(contains(region, F.col("lat_i") / 1e7, F.col("lon_i") / 1e7)).select("id")
+    held = in_ranges(db.cell_node, coverer.covering(region, grow)).select(F.col("node_id").alias("id")).distinct()
+    if mode == "covering":
+        return held
+    near = db.locations.where("lon_i is not null and lat_i is not null")
+    rects = [p for p in region.parts if isinstance(p, Rect)]
+    if len(rects) == len(region.parts):
+        test = F.lit(False)
+        for p in rects:
+            for lo, hi in p.spans:
+                test = test | (F.col("lat_i").between(*_whole(p.lat_lo, p.lat_hi)) & F.col("lon_i").between(*_whole(lo, hi)))
+        return near.where(test).select("id")
+    return near.join(held, "id", "left_semi").where(contains(region, F.col("lat_i") / 1e7, F.col("lon_i") / 1e7)).select("id")
+
+
+def _whole(lo: float, hi: float) -> tuple[int, int]:
+    """The 1e-7 degrees x with lo <= x / 1e7 <= hi."""
+    a, b = math.floor(lo * 1e7) - 1, math.ceil(hi * 1e7) + 1
+    while a / 1e7 < lo:
+        a += 1
+    while b / 1e7 > hi:
+        b -= 1
+    return a, b
 
 
 def parents(index: DataFrame, ids: DataFrame) -> DataFrame:
@@ -81,9 +107,20 @@ def parents(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def closure(relation_relation: DataFrame, start: DataFrame) -> DataFrame:
-    """``id``: the start and all relations above it, cycles included."""
-    above = transitive(relation_relation.select("child_id", "parent_id"))
-    return start.select("id").union(parents(above, start)).distinct()
+    """``id``: the start and all relations above it, cycles included.
+
+    Upward from the start, a round for each level of relations; only what is new goes on, so the work follows the result
+    and not the number of all links.
+    """
+    scratch = Scratch(start.sparkSession)
+    links = relation_relation.select("child_id", "parent_id").where("parent_id is not null")
+    seen, m = scratch.save(start.select("id").distinct())
+    front = seen
+    while m["n"]:
+        front, m = scratch.save(parents(links, front).join(seen, "id", "left_anti"))
+        if m["n"]:
+            seen = seen.union(front)
+    return seen
 
 
 def multipolygon_ways(relations: DataFrame, ways: DataFrame, ids: DataFrame) -> DataFrame:
@@ -140,13 +177,15 @@ def anonymous(df: DataFrame) -> DataFrame:
     return df.withColumn("meta", F.when(F.col("meta").isNotNull(), meta))
 
 
-def extract(db: OsmDataset, region: Region, mode: str = "covering", grow: int | None = None) -> Extract:
+def extract(db: OsmDataset, region: Region, mode: str = "covering", grow: int | None = None, watch: Callable = contextlib.nullcontext) -> Extract:
+    """watch: a context around the search for the region's nodes, to tell its progress."""
     scratch = Scratch(db.spark)
     save = lambda df: scratch.save(df)[0]
-    n0 = save(nodes_in(db, region, mode, grow))
+    with watch():
+        n0 = save(nodes_in(db, region, mode, grow))
     w0 = save(parents(db.node_way, n0))
     r0 = save(parents(db.node_relation, n0).union(parents(db.way_relation, w0)).distinct())
-    r = save(closure(db.relation_relation, r0))
+    r = closure(db.relation_relation, r0)
     w = save(w0.union(multipolygon_ways(db.relations, db.ways, r)).distinct())
     n = save(n0.union(way_nodes(db.ways, w)).distinct())
     return Extract(db, n0, w0, r0, r, w, n)

@@ -13,9 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrafold import tags
-from terrafold.dataset import SEQNUM, TIMESTAMP, OsmDataset
+from terrafold.dataset import OWNER, SEQNUM, TIMESTAMP, OsmDataset
 from terrafold.operators import indexes
 from terrafold.operators.changefeed import deletes
+from terrafold.scratch import Scratch
 
 PAYLOAD = ("version", "lon_i", "lat_i", "nodes", "members", "tags", "meta")
 
@@ -34,22 +35,26 @@ def replace(base: DataFrame, touched: DataFrame, new: DataFrame, key: str) -> Da
     return base.join(touched.select(F.col("id").alias(key)), key, "left_anti").select(*base.columns).unionByName(new.select(*base.columns))
 
 
-def update(db: OsmDataset, changes: DataFrame) -> OsmDataset:
-    """The dataset after a change table ``seq, pos, action, type, id`` and payload; lazily."""
-    last = last_in_order(changes)
-    touched = {t: last.where(F.col("type") == t).select("id") for t in ("node", "way", "relation")}
+def new_rows(last: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each of the nine tables that elements have after their last change; see :func:`last_in_order`."""
     new = {t: last.where((F.col("type") == t) & ~F.col("deleted")) for t in ("node", "way", "relation")}
     out = {
-        "locations": replace(db.locations, touched["node"], new["node"], "id"),
-        "nodes": replace(db.nodes, touched["node"], new["node"].where(tags.tagged(F.col("tags"))), "id"),
-        "ways": replace(db.ways, touched["way"], new["way"], "id"),
-        "relations": replace(db.relations, touched["relation"], new["relation"], "id"),
-        "cell_node": replace(db.cell_node, touched["node"], indexes.cell_node(new["node"]), "node_id"),
-        "node_way": replace(db.node_way, touched["way"], indexes.node_way(new["way"]), "way_id"),
+        "locations": new["node"].select("id", "lon_i", "lat_i", "version"),
+        "nodes": new["node"].where(tags.tagged(F.col("tags"))).select("id", "tags", "meta"),
+        "ways": new["way"].select("id", "nodes", "tags", "meta"),
+        "relations": new["relation"].select("id", "members", "tags", "meta"),
+        "cell_node": indexes.cell_node(new["node"]),
+        "node_way": indexes.node_way(new["way"]),
     }
-    for name in ("node_relation", "way_relation", "relation_relation"):
-        parent = indexes.COLUMNS[name][1]
-        out[name] = replace(getattr(db, name), touched["relation"], getattr(indexes, name)(new["relation"]), parent)
+    return out | {n: getattr(indexes, n)(new["relation"]) for n in ("node_relation", "way_relation", "relation_relation")}
+
+
+def update(db: OsmDataset, changes: DataFrame) -> OsmDataset:
+    """The dataset after a change table ``seq, pos, action, type, id`` and payload.  The last changes are settled once, as all
+    tables need them; the tables themselves are lazy."""
+    last, _ = Scratch(db.spark).save(last_in_order(changes))
+    touched = {t: last.where(F.col("type") == t).select("id") for t in ("node", "way", "relation")}
+    out = {n: replace(getattr(db, n), touched[OWNER[n][0]], rows, OWNER[n][1]) for n, rows in new_rows(last).items()}
     return OsmDataset(db.spark, out, dict(db.metadata))
 
 
@@ -64,13 +69,14 @@ def index_delta(db: OsmDataset, changes: DataFrame) -> DataFrame:
 
 
 def apply_file(db: OsmDataset, changes: DataFrame, root: str, seqnum: int | str, timestamp: str, commit: bool = False) -> int | None:
-    """Apply a change table and publish the next version, all or nothing; without commit nothing stays, and sequence number
-    and timestamp are recorded only with it."""
-    new = update(db, changes)
-    if commit:
-        new.metadata |= {SEQNUM: str(seqnum), TIMESTAMP: timestamp}
-    number = new.publish(root, commit)
-    return number if commit else None
+    """Apply a change table to the published dataset that db was opened from, as its next version, all or nothing.
+
+    Without commit the changes are read and settled, and nothing is written to the dataset: a rehearsal.
+    """
+    last, _ = Scratch(db.spark).save(last_in_order(changes))
+    if not commit:
+        return None
+    return db.publish_delta(root, last.select("type", "id"), new_rows(last), {SEQNUM: str(seqnum), TIMESTAMP: timestamp})
 
 
 def sequence_path(seq):
@@ -95,5 +101,6 @@ def sequence_before(states: DataFrame, wanted: DataFrame) -> DataFrame:
     carried = days.select("day", F.max("m").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
     run = W.partitionBy("day").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
     asof = both.withColumn("own", F.max("seq").over(run)).where("kind = 0").join(carried, "day")
-    last, first = states.agg(F.max(F.struct("seq", "at"))).scalar(), states.agg(F.min("seq")).scalar()
+    ends = states.agg(F.max(F.struct("seq", "at")).alias("last"), F.min("seq").alias("first")).first()
+    last, first = ends["last"] or {"at": None, "seq": None}, ends["first"]
     return asof.select("at", F.when(F.col("at") >= last["at"], last["seq"]).otherwise(F.coalesce(F.greatest("own", "before"), first)).alias("seq"))

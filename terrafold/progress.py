@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import json
 import sys
+import threading
 import time
 from collections.abc import Iterator
 
@@ -37,6 +38,31 @@ class Progress:
             print(f"\r{what}: [{'=' * int(part * 40):<40}] {part:4.0%}", end="\n" if part >= 1 else "", file=self.out, flush=True)
 
 
+    @contextlib.contextmanager
+    def watch(self, spark, *what: str, every: float = 0.5) -> Iterator[None]:
+        """Steps in proportion to the finished tasks of the jobs that run inside; all of it is done at the end."""
+        tracker, over = spark.sparkContext.statusTracker(), threading.Event()
+
+        def look() -> None:
+            while not over.wait(every):
+                found = [tracker.getStageInfo(i) for i in tracker.getActiveStageIds()]
+                total = sum(s.numTasks for s in found if s)
+                done = sum(s.numCompletedTasks for s in found if s)
+                for k in what:
+                    if total and (n := self.total[k] * done // total) > self.done[k]:
+                        self.step(k, n)
+
+        side = threading.Thread(target=look, daemon=True)
+        side.start()
+        try:
+            yield
+        finally:
+            over.set()
+            side.join()
+        for k in what:
+            self.step(k, self.total[k])
+
+
 @contextlib.contextmanager
 def timed(what: str, out=None) -> Iterator[None]:
     began = time.monotonic()

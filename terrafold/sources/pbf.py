@@ -97,6 +97,14 @@ def content(path: str, at: int, size: int) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompress(blob[7], max_output_size=blob.get(2, 1 << 25))
+    if 4 in blob:
+        import lzma
+
+        return lzma.decompress(blob[4], lzma.FORMAT_ALONE if blob[4][:1] == b"]" else lzma.FORMAT_AUTO)
+    if 6 in blob:
+        import pyarrow as pa
+
+        return pa.Codec("lz4_raw").decompress(blob[6], decompressed_size=blob[2], asbytes=True)
     raise ValueError("an unknown compression of a block")
 
 
@@ -197,8 +205,8 @@ class _PbfReader(_Files):
         if partition.value is None:
             return
         i, path, at, size = partition.value
-        for k, r in enumerate(rows(content(path, at, size))):
-            yield (i << 32 | k, *r)
+        found = rows(content(path, at, size))
+        yield from schemas.record_batches((i << 32 | k, *r) for k, r in enumerate(found))
 
 
 class OsmPbf(DataSource):

@@ -128,14 +128,14 @@ class _Files(DataSourceReader):
 class _XmlReader(_Files):
     def read(self, partition):
         with opened(partition.value[0]) as f:
-            yield from objects(f)
+            yield from schemas.record_batches(objects(f))
 
 
 class _OscReader(_Files):
     def read(self, partition):
         path, seq = partition.value
         with opened(path) as f:
-            yield from changes(f, seq)
+            yield from schemas.record_batches(changes(f, seq), changes=True)
 
 
 class ElementsXml(DataSource):
@@ -167,10 +167,10 @@ class OsmChange(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    from terrafold.sources import pbf, replication, xmlsink
+    from terrafold.sources import pbf, pbfsink, replication, xmlsink
 
     ship(spark)
-    for s in (ElementsXml, OsmChange, pbf.OsmPbf, replication.Replication, xmlsink.ElementsXmlSink):
+    for s in (ElementsXml, OsmChange, pbf.OsmPbf, replication.Replication, xmlsink.ElementsXmlSink, pbfsink.ElementsPbfSink):
         spark.dataSource.register(s)
 
 
@@ -186,8 +186,12 @@ def elements(objects_df: DataFrame) -> dict[str, DataFrame]:
 
 
 def expand(spark: SparkSession, path: str, root: str) -> int:
-    """Build and publish a dataset from an element file, XML or PBF."""
+    """Build and publish a dataset from an element file, XML or PBF.
+
+    The file is parsed once, into a written table with a folder for each type; all nine tables are made from that.
+    """
     from terrafold.dataset import FILENAME, SEQNUM, TIMESTAMP, OsmDataset
+    from terrafold.scratch import Scratch
     from terrafold.sources import pbf
 
     register(spark)
@@ -196,4 +200,9 @@ def expand(spark: SparkSession, path: str, root: str) -> int:
     meta = {FILENAME: os.path.basename(path), TIMESTAMP: head.get("osmosis_replication_timestamp", head.get("timestamp", ""))}
     if head.get(SEQNUM):
         meta[SEQNUM] = head[SEQNUM]
-    return OsmDataset.from_elements(spark, elements(spark.read.format(kind).load(path)), meta).publish(root)
+    scratch, raw = Scratch(spark), spark.read.format(kind).load(path)
+    parsed, _ = scratch.save(raw.select(*[c for c in raw.columns if c != "type"], "type"), by="type")
+    try:
+        return OsmDataset.from_elements(spark, elements(parsed), meta).publish(root)
+    finally:
+        scratch.drop()

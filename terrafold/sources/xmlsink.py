@@ -54,34 +54,49 @@ class _Part(WriterCommitMessage):
     first: tuple
 
 
-class _Writer(DataSourceWriter):
-    """Each task writes a part; the parts are put together in order of their first element."""
+class Parts(DataSourceWriter):
+    """Each task writes a part beside the file; the parts are put together in order of their first element.
+
+    The driver copies bytes one part after the other and holds none of them.
+    """
 
     def __init__(self, options: dict):
         self.path, self.info = options["path"], {k: v for k, v in options.items() if k != "path"}
         if "box" in self.info:
             self.info["box"] = [float(x) for x in self.info["box"].split(",")]
 
+    def encode(self, rows: Iterator[Row]) -> Iterator[bytes]:
+        raise TypeError("a kind of file is needed")
+
+    def ends(self) -> tuple[bytes, bytes]:
+        raise TypeError("a kind of file is needed")
+
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         import uuid
 
         rank = {"node": 0, "way": 1, "relation": 2}
-        part, first = f"{self.path}.{uuid.uuid4().hex}.part", (9, 0)
-        with open(part, "w", encoding="utf-8") as f:
+        part, first = f"{self.path}.{uuid.uuid4().hex}.part", [(9, 0)]
+
+        def seen() -> Iterator[Row]:
             for i, r in enumerate(iterator):
                 if not i:
-                    first = (rank[r["type"]], r["id"])
-                f.write(element(r))
-        return _Part(part, first)
+                    first[0] = (rank[r["type"]], r["id"])
+                yield r
+
+        with open(part, "wb") as f:
+            for raw in self.encode(seen()):
+                f.write(raw)
+        return _Part(part, first[0])
 
     def commit(self, messages: list) -> None:
-        with open(f"{self.path}.tmp", "w", encoding="utf-8") as out:
-            out.write(head(self.info))
+        before, after = self.ends()
+        with open(f"{self.path}.tmp", "wb") as out:
+            out.write(before)
             for m in sorted((m for m in messages if m), key=lambda m: m.first):
-                with open(m.file, encoding="utf-8") as f:
-                    shutil.copyfileobj(f, out)
+                with open(m.file, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 24)
                 os.remove(m.file)
-            out.write(FOOT)
+            out.write(after)
         os.replace(f"{self.path}.tmp", self.path)
 
     def abort(self, messages: list) -> None:
@@ -90,6 +105,14 @@ class _Writer(DataSourceWriter):
                 os.remove(m.file)
 
 
+class _Writer(Parts):
+    def encode(self, rows: Iterator[Row]) -> Iterator[bytes]:
+        return (element(r).encode() for r in rows)
+
+    def ends(self) -> tuple[bytes, bytes]:
+        return head(self.info).encode(), FOOT.encode()
+
+
 class ElementsXmlSink(DataSource):
     """``df.write.format("elements_xml_sink").mode("append").save(path)`` of a table of objects sorted by type and id.
 
@@ -116,12 +139,16 @@ def objects_of(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataF
     return n.unionByName(w).unionByName(r)
 
 
-def write(objects: DataFrame, path: str, info: dict) -> None:
+def save_sorted(objects: DataFrame, sink: str, path: str, info: dict) -> None:
     from terrafold.sources.xmlfiles import register
 
     register(objects.sparkSession)
     rank = F.when(F.col("type") == "node", 0).when(F.col("type") == "way", 1).otherwise(2)
-    w = objects.orderBy(rank, "id").write.format("elements_xml_sink").mode("append")
+    w = objects.orderBy(rank, "id").write.format(sink).mode("append")
     for k, v in info.items():
         w = w.option(k, ",".join(map(str, v)) if isinstance(v, (list, tuple)) else v)
     w.save(path)
+
+
+def write(objects: DataFrame, path: str, info: dict) -> None:
+    save_sorted(objects, "elements_xml_sink", path, info)

@@ -12,13 +12,17 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold import cli
-from terrafold.dataset import SEQNUM, TIMESTAMP, OsmDataset, writer_lock
+from conftest import DATA
+
+from terrafold import cli, schemas
+from terrafold import tables as T
+from terrafold.dataset import SEQNUM, TIMESTAMP, Busy, OsmDataset, vacuum, writer_lock
+from terrafold.files import Files
 from terrafold.functions import lookup
 from terrafold.operators import augdiff, extract as ex, geometry as geo, indexes, update as up
 from terrafold.progress import Progress
 from terrafold.region import Region
-from terrafold.sources import augdiffxml, xmlfiles, pbf, replication, xmlsink
+from terrafold.sources import augdiffxml, pbf, pbfsink, replication, xmlfiles, xmlsink
 from terrafold.streaming import catchup
 
 OSM = """<?xml version="1.0" encoding="UTF-8"?>
@@ -109,12 +113,26 @@ def test_extract_follows_the_equations(db):
         ex.nodes_in(db, Region.parse("0,0,1,1", "bbox"), "other")
 
 
-def test_many_ranges_equal_few(spark):
+def test_exact_boxes_take_whole_numbers(db):
+    assert ex._whole(0.1, 0.3) == (1_000_000, 3_000_000) and ex._whole(-179.0000001, 5.0) == (-1790000001, 50000000)
+    plan = ex.nodes_in(db, Region.parse("-1,-1,1,1", "bbox"), "exact")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(lat_i,-10000000)" in plan
+    assert ids(ex.nodes_in(db, Region.parse("0.5,0.5,0.1", "disc"), "exact")) == [2]
+
+
+def test_lookups_reach_the_scan(db):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,10)" in plan(db.ways.where("id = 10")) and "EqualTo(node_id,3)" in plan(db.node_way.where("node_id = 3"))
+
+
+def test_many_ranges_equal_few(spark, monkeypatch):
     cells = spark.range(0, 200000, 7).select((F.col("id") * 4099).alias("cell"))
     ranges = [(k * 8_000_000, k * 8_000_000 + 3_000_000 + k) for k in range(90)]
     want = sum(any(lo <= c < hi for lo, hi in ranges) for c in (7 * k * 4099 for k in range(-(-200000 // 7))))
     assert ex.in_ranges(cells, ranges).count() == want == sum(ex.in_ranges(cells, ranges[i : i + 45]).count() for i in (0, 45))
     assert ex.in_ranges(cells, []).count() == 0
+    monkeypatch.setattr(ex, "BROADCAST_RANGES", 10)
+    assert ex.in_ranges(cells, ranges).count() == want
 
 
 def test_geometry(db):
@@ -159,18 +177,94 @@ def test_commit_rehearsal_lock_and_pinned_versions(spark, files, osc):
     root = str(files / "db2")
     first = xmlfiles.expand(spark, str(files / "a.osm"), root)
     pinned = OsmDataset.open(spark, root)
+    before = sorted(os.listdir(root))
     assert up.apply_file(pinned, osc, root, 5, "2024-02-02T00:00:00Z") is None
+    assert sorted(os.listdir(root)) == before  # a rehearsal writes nothing
     assert OsmDataset.open(spark, root).version == first
     assert up.apply_file(pinned, osc, root, 5, "2024-02-02T00:00:00Z", commit=True) == first + 1
     now = OsmDataset.open(spark, root)
     assert now.get_metadata(SEQNUM) == "5" and now.relations.count() == 3 and pinned.relations.count() == 4
     assert OsmDataset.open(spark, root, first).relations.count() == 4
+    for name, df in up.update(pinned, osc).tables.items():  # the delta gives what a full update gives
+        assert sorted(map(repr, getattr(now, name).collect())) == sorted(map(repr, df.collect())), name
+    with pytest.raises(Busy):  # made for a version that is no longer the current one
+        up.apply_file(pinned, osc, root, 6, "2024-02-03T00:00:00Z", commit=True)
     with writer_lock(root):
         code = f"from terrafold.dataset import *\nwith writer_lock({root!r}): pass"
         tried = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
     assert tried.returncode and "Busy" in tried.stderr
 
 
+def test_an_update_writes_what_it_changes(spark, tmp_path, monkeypatch):
+    root, read = str(tmp_path / "db"), lambda t: spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet")
+    el = {"locations": T.current(read("locations"), "version"), **{n: T.current(read(n), "meta.version") for n in ("nodes", "ways", "relations")}}
+    OsmDataset.from_elements(spark, el).publish(root, partitions=2)
+    halves = [read("changes").where(f"seq % 2 = {i}") for i in (0, 1)]
+    few = halves[0].select("type", "id").where("id is not null").distinct().count()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = up.update(up.update(OsmDataset.open(spark, root), halves[0]), halves[1])
+    want = {n: rows(getattr(want, n)) for n in ("locations", "ways", "node_way", "cell_node")}
+    up.apply_file(OsmDataset.open(spark, root), halves[0], root, 1, "x", commit=True)
+    n = {t: spark.read.parquet(f"{root}/v2/{t}").count() for t in ("touched", "locations", "cell_node")}
+    assert n["touched"] == few and max(n.values()) <= few < len(want["locations"])
+    up.apply_file(OsmDataset.open(spark, root), halves[1], root, 2, "y", commit=True)
+    now = OsmDataset.open(spark, root)
+    assert OsmDataset.manifest(spark, root)["deltas"] == [2, 3] and now.get_metadata(SEQNUM) == "2"
+    assert {n: rows(getattr(now, n)) for n in want} == want
+    monkeypatch.setattr("terrafold.dataset.MAX_DELTAS", 3)
+    up.apply_file(now, halves[1], root, 3, "z", commit=True)
+    m = OsmDataset.manifest(spark, root)
+    assert (m["version"], m["full"], m["deltas"], m["metadata"][SEQNUM]) == (5, 5, [], "3")
+    assert vacuum(spark, root, keep=1) == [1, 2, 3, 4]
+    now = OsmDataset.open(spark, root)
+    assert {n: rows(getattr(now, n)) for n in want} == want
+
+
+def test_a_file_is_parsed_once(spark, files, tmp_path, monkeypatch):
+    """Each parse of the rows leaves a mark."""
+    marks, root = str(tmp_path / "marks"), f"file://{tmp_path}/db"  # a path with a scheme
+    os.mkdir(marks)
+    real = xmlfiles.elements
+
+    def marked(parsed):
+        assert all("elements_xml" not in str(x) for x in parsed.inputFiles())  # a written table
+        return real(parsed)
+
+    class Marking(xmlfiles._XmlReader):
+        def read(self, partition):
+            import uuid
+
+            open(os.path.join(marks, uuid.uuid4().hex), "w").close()
+            yield from super().read(partition)
+
+    class Source(xmlfiles.ElementsXml):
+        def reader(self, schema):
+            return Marking(self.options)
+
+    monkeypatch.setattr(xmlfiles, "elements", marked)
+    monkeypatch.setattr(xmlfiles, "register", lambda s: s.dataSource.register(Source))
+    xmlfiles.expand(spark, str(files / "a.osm"), root)
+    monkeypatch.undo()
+    xmlfiles.register(spark)
+    assert len(os.listdir(marks)) == 1
+    assert OsmDataset.open(spark, root).ways.count() == 4
+    assert up.apply_file(OsmDataset.open(spark, root), spark.read.format("changes_xml").option("seq", 5).load(str(files / "a.osc.gz")), root, 5, "t", commit=True) == 2
+
+
+def test_small_files(spark, tmp_path):
+    f = Files(spark)
+    f.makedirs(str(tmp_path / "x"))
+    f.write(str(tmp_path / "x/a"), "é1", new=True)
+    with pytest.raises(Exception):
+        f.write(str(tmp_path / "x/a"), "2", new=True)
+    f.replace(str(tmp_path / "x/a"), "3")
+    assert f.read(str(tmp_path / "x/a")) == "3" and f.names(str(tmp_path / "x")) == ["a"]
+    f.delete(str(tmp_path / "x"))
+    assert not f.exists(str(tmp_path / "x/a")) and f.names(str(tmp_path / "x")) == []
+    with pytest.raises(FileNotFoundError):
+        f.read(str(tmp_path / "none"))
+
+
 def test_augmented_diff(spark, db, osc):
     actions = augdiff.newest(osc)
     got = {(r["type"], r["id"]): r for r in augdiff.old_new(db, actions).collect()}
@@ -189,6 +283,14 @@ def test_augmented_diff(spark, db, osc):
     root = ET.fromstring(text)
     assert root[0].tag == "note" and len(root.findall("action")) == len(order)
     way = root.find("action/old/way[@id='11']")
+    assert root.find("action/new/node[@id='404']").get("visible") == "false" and root.find("action/old/node[@id='404']").get("timestamp") == "?"
+    plain = ET.fromstring(augdiffxml.render(db, spark.createDataFrame([(1, 0, "modify", "node", 1, 9, 5, 5, None, None, None, (9, 1600000000, 3, 4, "me"))], schemas.CHANGES)))
+    new, old = plain.find("action/new/node"), plain.find("action/old/node")
+    assert new.attrib == {"id": "1", "version": "9", "user": "me", "uid": "4", "timestamp": "2020-09-13T12:26:40Z", "changeset": "3", "lat": "0.0000005", "lon": "0.0000005"}
+    assert old.attrib == {"id": "1", "version": "1", "user": "?", "uid": "?", "timestamp": "?", "changeset": "?", "lat": "0.0000001", "lon": "-0.0000001"}
+    spread = plain.find("action/old/way[@id='10']")  # moved along with its node
+    assert {k: spread.get(k) for k in ("version", "user", "timestamp")} == {"version": "1", "user": "?", "timestamp": "?"}
+    assert plain.find("action/new/way[@id='10']").attrib == spread.attrib
     assert way.find("bounds").get("maxlat") == "1.6000000" and root.find("action/new/way[@id='11']")[0].get("lat") == "1.5100000"
 
 
@@ -204,6 +306,22 @@ def test_xml_round_trip(spark, db, files):
     assert xmlfiles.header(out)["bounds_maxlon"] == "1.0000000"
 
 
+def test_binary_round_trip(spark, db, files):
+    out = str(files / "out.pbf")
+    nodes = db.locations.join(db.nodes, "id", "left").select("id", "lon_i", "lat_i", "version", "tags", "meta")
+    own = spark.createDataFrame([(2**40, -1800000000, 900000000, 3, [("k", "é"), ("", "x")], (3, 1600000000, 7, 8, "me")), (9, None, 5, 1, None, None)], nodes.schema)
+    pbfsink.write(xmlsink.objects_of(nodes.unionByName(own), db.ways, db.relations), out, {"generator": "x", "box": [-1.5, 0, 1, 1], "osmosis_replication_timestamp": "2024-01-01T00:00:00Z"})
+    assert pbf.header(out) == {"generator": "x", "osmosis_replication_timestamp": "2024-01-01T00:00:00Z", "bounds_minlon": "-1.5", "bounds_maxlon": "1.0", "bounds_maxlat": "1.0", "bounds_minlat": "0.0"}
+    rows = spark.read.format("elements_pbf").load(out).orderBy("pos").collect()
+    assert [(r["type"], r["id"]) for r in rows] == [("node", i) for i in (1, 2, 3, 4, 5, 2**40)] + [("way", i) for i in (10, 11, 12, 13)] + [("relation", i) for i in (20, 21, 22, 23)]
+    back = xmlfiles.elements(spark.read.format("elements_pbf").load(out))
+    for name in ("ways", "relations"):
+        cols = [c for c in getattr(db, name).columns if c != "meta"]
+        assert sorted(map(repr, back[name].select(cols).collect())) == sorted(map(repr, getattr(db, name).select(cols).collect()))
+    far = rows[5]
+    assert (far["lon_i"], far["lat_i"], far["version"], far["tags"], tuple(far["meta"])) == (-1800000000, 900000000, 3, [("k", "é")], (3, 1600000000, 7, 8, "me"))
+
+
 def vint(x):
     out = b""
     while x > 127:
@@ -320,6 +438,11 @@ def test_command_line(spark, files, tmp_path, capsys):
         assert cli.main(["query", root, *what], spark) == 0
         assert want in capsys.readouterr().out
     assert cli.main(["extract", root, out], spark) == 1
+    assert cli.main(["query", root], spark) == 0
+    said = capsys.readouterr().out
+    assert "Timestamp: 2024-02-02T00:00:00Z" in said and "Sequence #: 5" in said
+    assert cli.main(["extract", root, out + ".pbf", "--disc", "0,0,1"], spark) == 0
+    assert spark.read.format("elements_pbf").load(out + ".pbf").where("type = 'way'").count() == 2
     env = lookup.Environment(spark, root)
     with lookup.Transaction(env) as txn:
         assert lookup.Locations(txn).get(6) == (1.25, 1.0, 3) and lookup.Locations(txn).get(404) is None
