@@ -138,7 +138,7 @@ class OsmDataset:
         if m["version"] != self.version:
             raise Busy(f"{root} is at version {m['version']}, not at {self.version}")
         number = next_version(self.spark, root)
-        for name, df in {**new, "touched": touched}.items():
+        for name, df in {**{n: new[n] for n in m["tables"]}, "touched": touched}.items():
             df.coalesce(1 + len(df.columns) // 9).write.parquet(f"{root}/v{number}/{name}")
         m |= {"version": number, "deltas": [*m["deltas"], number], "metadata": {**self.metadata, **metadata}}
         make_current(self.spark, root, m)

@@ -102,5 +102,5 @@ def sequence_before(states: DataFrame, wanted: DataFrame) -> DataFrame:
     run = W.partitionBy("day").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
     asof = both.withColumn("own", F.max("seq").over(run)).where("kind = 0").join(carried, "day")
     ends = states.agg(F.max(F.struct("seq", "at")).alias("last"), F.min("seq").alias("first")).first()
-    last, first = ends["last"] or {"at": None, "seq": None}, ends["first"]
-    return asof.select("at", F.when(F.col("at") >= last["at"], last["seq"]).otherwise(F.coalesce(F.greatest("own", "before"), first)).alias("seq"))
+    last, first = ends["last"] or {"at": None, "seq": None}, F.lit(ends["first"])
+    return asof.select("at", F.when(F.col("at") >= F.lit(last["at"]), F.lit(last["seq"])).otherwise(F.coalesce(F.greatest("own", "before"), first)).alias("seq"))

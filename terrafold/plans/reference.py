@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold import coverer, tables as T, tags
-from terrafold.dataset import OsmDataset
+from terrafold.dataset import FILENAME, SEQNUM, OsmDataset
 from terrafold.functions import s2
 from terrafold.operators import augdiff, extract as ex, geometry as geo, indexes, update as up
 from terrafold.region import Region
@@ -23,11 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, prelude: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql if sql.lstrip().startswith("--raw") else f"WITH RECURSIVE {PRELUDE} {sql}"
+            SQL[f.__name__] = sql if sql.lstrip().startswith("--raw") else f"WITH RECURSIVE {prelude or PRELUDE} {sql}"
         return f
 
     return add
@@ -112,13 +112,34 @@ def table_stats(spark, d):
     return _db(spark, d).stats()
 
 
-@query("""SELECT k AS key, coalesce(v, '') AS value FROM (VALUES ('osmosis_replication_sequence_number', (SELECT CAST(max(seq) AS VARCHAR) FROM changes)), ('import_filename', 'locations.parquet'), ('absent', NULL)) t(k, v)""")
+def _published(spark: SparkSession, d: str, *names: str, metadata: dict[str, str] | None = None) -> str:
+    """The root of a dataset that is published, with some of its tables, in the shared folder."""
+    db = _db(spark, d)
+    root = f"{Scratch(spark).root}/published"
+    OsmDataset(spark, {n: getattr(db, n) for n in names}, metadata or {}).publish(root)
+    return root
+
+
+@query("""SELECT k AS key, coalesce(v, '') AS value FROM (VALUES ('osmosis_replication_sequence_number', (SELECT CAST(max(seq) AS VARCHAR) FROM changes)), ('import_filename', 'relations.parquet'), ('absent', NULL)) t(k, v)""")
 def metadata_get(spark, d):
-    """The stored value of each key, empty where there is none; the sequence number is that of the feed."""
-    newest = _changes(spark, d).agg(F.lit("osmosis_replication_sequence_number").alias("key"), F.max("seq").cast("string").alias("value"))
-    stored = newest.unionByName(spark.range(1).select(F.lit("import_filename").alias("key"), F.lit("locations.parquet").alias("value")))
-    asked = spark.range(1).select(F.explode(F.array(F.lit("osmosis_replication_sequence_number"), F.lit("import_filename"), F.lit("absent"))).alias("key"))
-    return asked.join(stored, "key", "left").select("key", F.coalesce("value", F.lit("")).alias("value"))
+    """The value that a published dataset has for each key, empty where there is none; its sequence number is that of the
+    newest change of the feed."""
+    newest = str(_changes(spark, d).agg(F.max("seq").alias("s")).first()["s"])
+    root = _published(spark, d, "relations", metadata={SEQNUM: newest, FILENAME: "relations.parquet"})
+    db = OsmDataset.open(spark, root)
+    return spark.createDataFrame([(k, db.get_metadata(k)) for k in (SEQNUM, FILENAME, "absent")], "key string, value string")
+
+
+@query(f"SELECT 'way' AS kind, id, {_S_REFS.format('nodes')} AS body, {_S_TAGS.format('tags')} AS tags FROM cw WHERE id = (SELECT max(id) FROM cw) UNION ALL SELECT 'node_way', node_id, CAST(way_id AS VARCHAR), '' FROM nw WHERE way_id = (SELECT max(id) FROM cw)")
+def lookup_by_id(spark, d):
+    """The way with the highest id, found by that id in a published dataset, and its entries of the node index."""
+    db = OsmDataset.open(spark, _published(spark, d, "ways", "node_way"))
+    last = db.ways.agg(F.max("id").alias("i")).first()["i"]
+    way = db.ways.where(F.col("id") == last)
+    index = db.node_way.where(F.col("way_id") == last)
+    return way.select(F.lit("way").alias("kind"), "id", _joined(F.col("nodes")).alias("body"), _tags().alias("tags")).unionByName(
+        index.select(F.lit("node_way").alias("kind"), F.col("node_id").alias("id"), F.col("way_id").cast("string").alias("body"), F.lit("").alias("tags"))
+    )
 
 
 @query("SELECT id, lat_i / 1e7 AS lat, lon_i / 1e7 AS lon, version FROM cl")
@@ -324,8 +345,8 @@ UNION ALL SELECT 1, id, meta.version, {{u}}, {_S_REFS.format('nodes')}, {_S_TAGS
 UNION ALL SELECT 2, id, meta.version, {{u}}, {_S_MEMBERS.format('members')}, {_S_TAGS.format('tags')} FROM cr WHERE id IN (SELECT id FROM ra)"""
 
 
-def _elements(spark, d, user_data: bool):
-    e = ex.extract(_db(spark, d, "locations", "ways", "relations"), REGION, "exact")
+def _elements(spark, d, user_data: bool, mode: str = "exact"):
+    e = ex.extract(_db(spark, d, "locations", "ways", "relations"), REGION, mode)
     n = e.nodes(user_data).select(F.lit(0).alias("rank"), "id", "version", F.col("meta.uid").alias("uid"), F.concat(geo.fixed(F.col("lon_i")), F.lit(" "), geo.fixed(F.col("lat_i"))).alias("body"), _tags().alias("tags"))
     w = e.ways(user_data).select(F.lit(1).alias("rank"), "id", F.col("meta.version").alias("version"), F.col("meta.uid").alias("uid"), _joined(F.col("nodes")).alias("body"), _tags().alias("tags"))
     r = e.relations(user_data).select(F.lit(2).alias("rank"), "id", F.col("meta.version").alias("version"), F.col("meta.uid").alias("uid"), _members().alias("body"), _tags().alias("tags"))
@@ -342,12 +363,24 @@ def extract_no_user_data(spark, d):
     return _elements(spark, d, False)
 
 
-@query()
+_COVERED = PRELUDE.replace(
+    "n0 AS (SELECT id FROM cl WHERE lat_i BETWEEN 49000000 AND 55000000 AND lon_i BETWEEN 757000000 AND 764000000)",
+    _hilbert_sql().lstrip(", ") + ", n0 AS (SELECT DISTINCT node_id AS id FROM cells WHERE " + " OR ".join(f"cell BETWEEN {lo} AND {hi - 1}" for lo, hi in _RANGES) + ")",
+)
+
+
+@query(SQL["extract_counts"].split(PRELUDE)[1], _COVERED)
 def extract_covering(spark, d):
     """The sizes of an extract by whole cells, as the box's covering has it."""
     return ex.extract(_db(spark, d, "locations", "ways", "relations"), REGION, "covering").counts()
 
 
+@query(_ELEMENTS.format(u0="cn.meta.uid", u="meta.uid"), _COVERED)
+def extract_elements_covering(spark, d):
+    """All elements of an extract by whole cells."""
+    return _elements(spark, d, True, "covering")
+
+
 # ---- geometry
 
 
@@ -474,6 +507,19 @@ def update_index_delta(spark, d):
     return up.index_delta(_db(spark, d), _changes(spark, d))
 
 
+@query("""SELECT 'locations' AS table_name, count(*) AS n FROM (""" + _s_replaced("cl", "id", "node") + """)
+UNION ALL SELECT 'nodes', count(*) FROM (""" + _s_replaced("cn", "id", "node", "AND len(tags) > 0") + """)
+UNION ALL SELECT 'ways', count(*) FROM (""" + _s_replaced("cw", "id", "way") + """)
+UNION ALL SELECT 'relations', count(*) FROM (""" + _s_replaced("cr", "id", "relation") + """)
+UNION ALL SELECT 'relation_relation', count(*) FROM (""" + _s_member_index("rr", "child_id", "parent_id", "relation") + """)""")
+def update_published(spark, d):
+    """Table sizes of a published dataset after the feed was applied to it as a delta."""
+    names = ("locations", "nodes", "ways", "relations", "relation_relation")
+    root = _published(spark, d, *names)
+    up.apply_file(OsmDataset.open(spark, root), _changes(spark, d), root, 1, "", commit=True)
+    return OsmDataset.open(spark, root).stats()
+
+
 # ---- augmented diffs
 
 
