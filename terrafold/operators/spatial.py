@@ -77,10 +77,21 @@ def _shape(region: Region) -> dict:
     }
 
 
+def _at_cell(shape: dict, level: int, x: int) -> dict:
+    """A shape with those edges alone that share a meridian with a cell."""
+    if not shape["polys"]:
+        return shape
+    width = 360.0 / (1 << level)
+    lo, hi = -180 + x * width - 1e-6, -180 + (x + 1) * width + 1e-6
+    spans = [(lo + k, hi + k) for k in (-360, 0, 360)]  # edges may run on beyond 180 degrees
+    return shape | {"polys": [[e for e in p if any(e["x1"] <= b and e["x2"] >= a for a, b in spans)] for p in shape["polys"]]}
+
+
 def coverage(regions: DataFrame, max_cells: int = MAX_CELLS, max_level: int = MAX_LEVEL) -> DataFrame:
     """``region_id, cell, interior, shape`` of a table ``region_id, kind, spec``; each region is covered on an executor.
 
-    Only boundary cells carry the shape, for their exact test.  A null or senseless spec covers nothing.
+    Only boundary cells carry the shape, for their exact test, and of its polygons only the edges that share a meridian with
+    the cell: no other edge lies north of one of its points.  A null or senseless spec covers nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,7 +103,7 @@ def coverage(regions: DataFrame, max_cells: int = MAX_CELLS, max_level: int = MA
                     continue
                 shape = _shape(r)
                 cells = cover(r, max_cells, max_level)
-                yield pd.DataFrame({"region_id": i, "cell": [(lv << 58) | (x << 29) | y for lv, x, y, _ in cells], "interior": [c[3] for c in cells], "shape": [None if c[3] else shape for c in cells]})
+                yield pd.DataFrame({"region_id": i, "cell": [(lv << 58) | (x << 29) | y for lv, x, y, _ in cells], "interior": [c[3] for c in cells], "shape": [None if c[3] else _at_cell(shape, c[0], c[1]) for c in cells]})
 
     ship(regions.sparkSession)
     rows = regions.select(F.col("region_id").cast("long"), "kind", "spec").where("region_id is not null").distinct()
