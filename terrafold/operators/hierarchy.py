@@ -308,11 +308,7 @@ class Hierarchy:
         own, loops = self.intervals(), self.nodes.where("cyclic").select("id", "head", F.col("pre").alias("from_pre"), F.col("pre").alias("to_pre"))
         if not self.n_bridges:
             return own.unionByName(loops)
-        if self.n_bridges <= self.task_links:
-            starts = self.bridges.select("head").distinct()
-            heads = spread_in_tasks(scratch, starts.select(F.col("head").alias("top"), "head"), self.bridges, self.n_bridges, closed=True).select(F.col("top").alias("a"), F.col("head").alias("b"))
-        else:
-            heads = transitive(self.bridges.select("head", "child"))
+        heads = transitive(self.bridges.select("head", "child"), self.task_links)
         steps = self.nodes.select(F.col("id").alias("via"), F.explode("segs").alias("s"))
         out = self.bridges.select("via", "child").join(steps, "via").select("child", F.col("s.chain").alias("chain"), F.col("s.upto").alias("upto"))
         left = self.nodes.select("id", "chain", "pos").join(out, "chain").where("pos <= upto").select("id", F.col("child").alias("head")).distinct()

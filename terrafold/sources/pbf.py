@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, InputPartition
 
 from terrafold import schemas
+from terrafold.sources import paths
 from terrafold.sources.xmlfiles import _Files
 
 KINDS = ("node", "way", "relation")
@@ -77,7 +78,7 @@ def running(xs: list[int]) -> list[int]:
 
 def blocks(path: str) -> Iterator[tuple[str, int, int]]:
     """Kind, offset and length of each block."""
-    with open(path, "rb") as f:
+    with paths.reading(path) as f:
         while head := f.read(4):
             size = struct.unpack(">I", head)[0]
             got = dict(fields(f.read(size)))
@@ -86,7 +87,7 @@ def blocks(path: str) -> Iterator[tuple[str, int, int]]:
 
 
 def content(path: str, at: int, size: int) -> bytes:
-    with open(path, "rb") as f:
+    with paths.reading(path) as f:
         f.seek(at)
         blob = dict(fields(f.read(size)))
     if 1 in blob:

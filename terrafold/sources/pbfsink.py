@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import struct
 import zlib
 from collections.abc import Iterable, Iterator

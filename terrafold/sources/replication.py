@@ -87,9 +87,15 @@ class Feed:
                     seq -= 1
             return None
 
-        low, high, best, least = 0, last.sequence - 1, None, last
+        low, high, best, least, halve = 0, last.sequence - 1, None, last, False
         while low <= high:
-            mid = (low + high) // 2
+            # between two known states the place of the time between theirs is guessed, every other time the middle is taken
+            if best and not halve and least.timestamp > best.timestamp:
+                guess = best.sequence + (least.sequence - best.sequence) * (when - best.timestamp) // (least.timestamp - best.timestamp)
+                mid = min(max(guess, low), high)
+            else:
+                mid = (low + high) // 2
+            halve = not halve
             got = near(mid, low)
             if got is None:
                 low = mid + 1

@@ -7,7 +7,6 @@ the file's first bytes.
 from __future__ import annotations
 
 import bz2
-import glob
 import gzip
 import io
 import lzma
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terrafold import schemas
+from terrafold.sources import paths
 from terrafold.ship import ship
 
 TYPES = ("node", "way", "relation")
@@ -29,7 +29,7 @@ ACTIONS = ("create", "modify", "delete")
 
 def opened(path: str):
     """A binary stream of a file's plain content."""
-    f = open(path, "rb")
+    f = paths.reading(path)
     head = f.read(6)
     f.seek(0)
     if head[:2] == b"\x1f\x8b":
@@ -116,7 +116,7 @@ def header(path: str) -> dict[str, str]:
 
 class _Files(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = sorted(p for part in options["path"].split(",") for p in glob.glob(part))
+        self.paths = paths.found(options["path"])
         if not self.paths:
             raise FileNotFoundError(options["path"])
         self.seq = int(options.get("seq", 0))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from terrafold import schemas
+from terrafold.sources import paths
 
 FOOT = "</osm>\n"
 
@@ -83,26 +83,26 @@ class Parts(DataSourceWriter):
                     first[0] = (rank[r["type"]], r["id"])
                 yield r
 
-        with open(part, "wb") as f:
+        with paths.writing(part) as f:
             for raw in self.encode(seen()):
                 f.write(raw)
         return _Part(part, first[0])
 
     def commit(self, messages: list) -> None:
         before, after = self.ends()
-        with open(f"{self.path}.tmp", "wb") as out:
+        with paths.writing(f"{self.path}.tmp") as out:
             out.write(before)
             for m in sorted((m for m in messages if m), key=lambda m: m.first):
-                with open(m.file, "rb") as f:
+                with paths.reading(m.file) as f:
                     shutil.copyfileobj(f, out, 1 << 24)
-                os.remove(m.file)
+                paths.remove(m.file)
             out.write(after)
-        os.replace(f"{self.path}.tmp", self.path)
+        paths.rename(f"{self.path}.tmp", self.path)
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m and os.path.exists(m.file):
-                os.remove(m.file)
+            if m:
+                paths.remove(m.file)
 
 
 class _Writer(Parts):
@@ -116,7 +116,7 @@ class _Writer(Parts):
 class ElementsXmlSink(DataSource):
     """``df.write.format("elements_xml_sink").mode("append").save(path)`` of a table of objects sorted by type and id.
 
-    The folder must be one that all executors and the driver share."""
+    The folder, or the store behind an address, must be one that all executors and the driver share."""
 
     @classmethod
     def name(cls):

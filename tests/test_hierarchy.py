@@ -213,3 +213,19 @@ def test_members_of_other_types_and_missing_ones_make_no_links(spark):
     rows = [(1, [(2, "relation", None), (3, "way", "x"), (9, "relation", ""), (2, "relation", "again"), (None, "relation", None), (2, None, None)]), (2, []), (3, None)]
     df = spark.createDataFrame(rows, f"id bigint, members {MEMBERS}")
     assert [tuple(r) for r in hierarchy.member_links(df).collect()] == [(1, 2)]
+
+
+def test_closure_by_walks_and_by_squaring(spark):
+    from terrafold.operators.closure import transitive
+
+    rng = random.Random(11)
+    links = [(rng.randint(1, 30), rng.randint(1, 30)) for _ in range(45)] + [(None, 1), (1, None), (99, 99)]
+    df = spark.createDataFrame(links, "x bigint, y bigint")
+    pairs, new = set(), {e for e in links if None not in e}
+    while new - pairs:
+        pairs |= new
+        new = {(a, d) for a, b in pairs for c, d in pairs if b == c}
+    for most in (0, 1000):
+        got = [tuple(r) for r in transitive(df, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs
+    assert transitive(df.limit(0)).count() == 0

@@ -322,6 +322,16 @@ def test_binary_round_trip(spark, db, files):
     assert (far["lon_i"], far["lat_i"], far["version"], far["tags"], tuple(far["meta"])) == (-1800000000, 900000000, 3, [("k", "é")], (3, 1600000000, 7, 8, "me"))
 
 
+def test_addresses(spark, db, files):
+    """Through the file systems that know addresses, on driver and executors."""
+    nodes = db.locations.join(db.nodes, "id", "left").select("id", "lon_i", "lat_i", "version", "tags", "meta")
+    for kind, sink, reader in (("osm", xmlsink, "elements_xml"), ("pbf", pbfsink, "elements_pbf")):
+        out = f"file://{files}/addressed.{kind}"
+        sink.write(xmlsink.objects_of(nodes, db.ways, db.relations), out, {"generator": "x"})
+        assert spark.read.format(reader).load(out).count() == 13
+    assert not [n for n in os.listdir(files) if n.endswith((".part", ".tmp"))]
+
+
 def vint(x):
     out = b""
     while x > 127:
