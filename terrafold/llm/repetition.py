@@ -30,13 +30,14 @@ class Rule:
 
 
 #: A document of at least 50 words of which at least 6/10 are repeated. The second rule costs little and follows from the
-#: third, as an n-th occurrence of a word is no first one: a repeated word is never new to its text. The last five hold for
-#: any text that gets so far: they keep the other ratios in the table, open, and are tried on no other rows.
+#: third, as an n-th occurrence of a word is no first one: a repeated word is never new to its text. So does the rule on
+#: length, since 50 words and the blanks between them are 99 characters. The last four hold for any text that gets so far:
+#: they keep the other ratios in the table, open, and are tried on no other rows.
 REPEATED = (
+    Rule("n_chars", ">=", 99),
     Rule("n_words", ">=", 50),
     Rule("new_word_share", "<=", 0.4),
     Rule("repeated_share", ">=", 0.6),
-    Rule("n_chars", ">=", 50),
     Rule("mean_word_length", ">=", 1),
     Rule("symbol_ratio", ">=", 0),
     Rule("stop_word_share", "<=", 1),
@@ -63,13 +64,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    trimmed = F.btrim(text, F.lit(" \t\r\n"))
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t\r\n]+"))
 
 
 def lines_of(text: Column) -> Column:
     """Non-blank lines without outer spaces and tabs."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t]+$", "")), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: F.length(x) > 0)
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -138,7 +139,15 @@ def measures(docs: DataFrame, names: list[str], key: str = "doc_id", text: str =
 
 def compile_rules(rules: tuple[Rule, ...], text: Column, stop: tuple[str, ...] = ()) -> Column:
     """One boolean column: whether a text meets all rules.  They are tried in the table's order, and the first that fails
-    spares the row the rest; the lines are made when the first rule on lines is reached."""
+    spares the row the rest; words and lines are made when the first rule that needs them is reached."""
+
+    def of_length(rest: tuple[Rule, ...]) -> Column:
+        if not rest or rest[0].measure != "n_chars":
+            return let(words_of(text), lambda w: verdict(w, None, rest)) if rest else F.lit(True)
+        return F.when(met(F.length(F.coalesce(text, F.lit(""))), rest[0]), of_length(rest[1:])).otherwise(False)
+
+    def met(m: Column, r: Rule) -> Column:
+        return {">=": m >= r.value, "<=": m <= r.value, ">": m > r.value, "<": m < r.value}[r.comparison]
 
     def verdict(w: Column, x: Column | None, rest: tuple[Rule, ...]) -> Column:
         if not rest:
@@ -147,10 +156,9 @@ def compile_rules(rules: tuple[Rule, ...], text: Column, stop: tuple[str, ...] =
         if x is None and _of_lines(r.measure):
             return let(lines_of(text), lambda y: verdict(w, y, rest))
         m = _measures(text, w, w if x is None else x, stop)[r.measure]
-        met = {">=": m >= r.value, "<=": m <= r.value, ">": m > r.value, "<": m < r.value}[r.comparison]
-        return F.when(met, verdict(w, x, rest[1:])).otherwise(False)
+        return F.when(met(m, r), verdict(w, x, rest[1:])).otherwise(False)
 
-    return let(words_of(text), lambda w: verdict(w, None, rules))
+    return of_length(rules)
 
 
 def corpus_words(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -66,10 +66,10 @@ def test_stop_words_are_those_of_the_corpus(spark):
 
 def test_open_rules_change_no_row(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id bigint, text string")
-    rest = rp.REPEATED[3:]
-    assert {r.measure for r in rest} >= {"n_chars", "symbol_ratio", "stop_word_share", "repeated_line_share"}
-    n = df.where(rp.compile_rules(rp.REPEATED[:1], F.col("text"))).count()
-    assert df.where(rp.compile_rules(rp.REPEATED[:1] + rest, F.col("text"))).count() == n
+    least, rest = rp.REPEATED[1:2], rp.REPEATED[:1] + rp.REPEATED[4:]
+    assert {r.measure for r in rest} == {"n_chars", "mean_word_length", "symbol_ratio", "stop_word_share", "repeated_line_share"}
+    n = df.where(rp.compile_rules(least, F.col("text"))).count()
+    assert df.where(rp.compile_rules(least + rest, F.col("text"))).count() == n
 
 
 def test_no_user_functions_and_no_shuffle(spark):
