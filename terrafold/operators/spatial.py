@@ -107,6 +107,7 @@ def coverage(regions: DataFrame, max_cells: int = MAX_CELLS, max_level: int = MA
 
     ship(regions.sparkSession)
     rows = regions.select(F.col("region_id").cast("long"), "kind", "spec").where("region_id is not null").distinct()
+    rows = rows.repartition(min(256, regions.sparkSession.sparkContext.defaultParallelism), "region_id")  # few rows, each much work
     return rows.mapInPandas(run, f"region_id bigint, cell bigint, interior boolean, shape {_SHAPE}")
 
 
@@ -160,8 +161,10 @@ def inside(points: DataFrame, regions: DataFrame, max_cells: int = MAX_CELLS, ma
     """
     cells, _ = Scratch(points.sparkSession).save(coverage(regions, max_cells, max_level))
     near_cells = points.where(on_earth()).select("id", "lon_i", "lat_i", cell_key(COARSE).alias("coarse")).join(F.broadcast(levels_at(cells)), "coarse")
-    by_level = F.array(*[cell_key(level) for level in range(max_level + 1)])
-    keyed = near_cells.select("id", "lon_i", "lat_i", F.explode(F.transform("levels", lambda k: F.get(by_level, k))).alias("cell"))
+    fine = near_cells.select("id", "lon_i", "lat_i", "levels", cell_key(max_level).alias("fine"))
+    up = f"({max_level} - level)"
+    above = F.expr(f"shiftleft(cast(level as bigint), 58) | shiftleft(shiftright(shiftright(fine, 29) & {(1 << 29) - 1}, {up}), 29) | shiftright(fine & {(1 << 29) - 1}, {up})")
+    keyed = fine.select("id", "lon_i", "lat_i", "fine", F.explode("levels").alias("level")).select("id", "lon_i", "lat_i", above.alias("cell"))
     met = keyed.join(cells, "cell")
     exact = within(F.col("shape"), F.col("lat_i") / 1e7, F.col("lon_i") / 1e7)
     return met.where(F.when(F.col("interior"), True).otherwise(exact)).select("region_id", "id")
