@@ -114,7 +114,10 @@ def named_state(changes: DataFrame, locations: DataFrame, ways: DataFrame, relat
     """
     scratch = Scratch(changes.sparkSession)
     bases = dict(zip(ELEMENTS, (locations.select("id", "version"), ways.select("id", "meta.version"), relations.select("id", "meta.version"))))
-    resolved, _ = scratch.save(newest_first(changes, [], band_cuts(changes, bands)))
+    cuts = band_cuts(changes, bands)
+    resolved = newest_first(changes, [], cuts)
+    if not cuts:  # bands are written anyway
+        resolved, _ = scratch.save(resolved)
     base = base_versions(bases).join(resolved.select(*KEY), KEY, "left_semi")
     base, _ = scratch.save(base)
     images, _ = scratch.save(resolved.join(base, KEY, "left").where("base is null or version > base").select(*KEY, "version", "deleted"))
