@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from terrafold import coverer, tags
 from terrafold.dataset import OsmDataset
 from terrafold.functions import s2
+from terrafold.operators.onetask import TASK_LINKS, spread_in_tasks
 from terrafold.region import Rect, Region
 from terrafold.scratch import Scratch
 
@@ -106,14 +107,20 @@ def parents(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select(F.col("id").alias(key)), key, "left_semi").select(F.col(val).alias("id")).distinct()
 
 
-def closure(relation_relation: DataFrame, start: DataFrame) -> DataFrame:
+def closure(relation_relation: DataFrame, start: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """``id``: the start and all relations above it, cycles included.
 
-    Upward from the start, a round for each level of relations; only what is new goes on, so the work follows the result
-    and not the number of all links.
+    Upward from the start, so the work follows the result: by one task if it can hold the links between relations, else in
+    rounds, one for each level of relations, in which only what is new goes on.
     """
     scratch = Scratch(start.sparkSession)
-    links = relation_relation.select("child_id", "parent_id").where("parent_id is not null")
+    links, n = scratch.save(relation_relation.select("child_id", "parent_id").where("parent_id is not null").distinct())
+    if n["n"] <= task_links:
+        if not n["n"]:
+            return start.select("id").distinct()
+        steps = links.select(F.col("child_id").alias("head"), F.col("child_id").alias("via"), F.col("parent_id").alias("child"), F.lit(1).cast("long").alias("w"))
+        seeds = start.select(F.lit(0).cast("long").alias("top"), F.col("id").alias("head")).join(links.select(F.col("child_id").alias("head")), "head", "left_semi").select("top", "head")
+        return start.select("id").union(spread_in_tasks(scratch, seeds, steps, n["n"]).select("head")).distinct()
     seen, m = scratch.save(start.select("id").distinct())
     front = seen
     while m["n"]:
@@ -185,7 +192,7 @@ def extract(db: OsmDataset, region: Region, mode: str = "covering", grow: int |
         n0 = save(nodes_in(db, region, mode, grow))
     w0 = save(parents(db.node_way, n0))
     r0 = save(parents(db.node_relation, n0).union(parents(db.way_relation, w0)).distinct())
-    r = closure(db.relation_relation, r0)
+    r = save(closure(db.relation_relation, r0))
     w = save(w0.union(multipolygon_ways(db.relations, db.ways, r)).distinct())
     n = save(n0.union(way_nodes(db.ways, w)).distinct())
     return Extract(db, n0, w0, r0, r, w, n)

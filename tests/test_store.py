@@ -113,6 +113,14 @@ def test_extract_follows_the_equations(db):
         ex.nodes_in(db, Region.parse("0,0,1,1", "bbox"), "other")
 
 
+def test_relations_above_by_a_walk_and_in_rounds(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (9, 1), (7, 8), (4, None), (2, 3)], "child_id bigint, parent_id bigint")
+    start = spark.createDataFrame([(1,), (4,), (50,), (1,)], "id bigint")
+    for most in (0, 100):
+        assert ids(ex.closure(links, start, most)) == [1, 2, 3, 4, 50]
+        assert ids(ex.closure(links, start.limit(0), most)) == [] and ids(ex.closure(links.limit(0), start, most)) == [1, 4, 50]
+
+
 def test_exact_boxes_take_whole_numbers(db):
     assert ex._whole(0.1, 0.3) == (1_000_000, 3_000_000) and ex._whole(-179.0000001, 5.0) == (-1790000001, 50000000)
     plan = ex.nodes_in(db, Region.parse("-1,-1,1,1", "bbox"), "exact")._jdf.queryExecution().executedPlan().toString()
